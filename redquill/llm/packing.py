@@ -14,6 +14,7 @@ the id and the text are not read, so their names can't clash.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 END_ID = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 
 # In texts without a character from U+0130 on, these are the tokenizer's own pre-tokens once the
 # text is in lower case: contractions, runs of letters, single digits, runs of anything else.
@@ -51,6 +52,7 @@ class WordEncoder:
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = memo_words
 
     @staticmethod
@@ -61,13 +63,16 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [self.parts(t) for t in texts]
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        new = list(set().union(*parts) - self.memo.keys()) if parts else []
+        if len(self.memo) > self.limit:  # what is still in use comes back from the older half
+            self.memo, self.older = {}, self.memo
+        new = set().union(*parts) - self.memo.keys()
+        for word in new & self.older.keys():
+            self.memo[word] = self.older[word]
+        new = list(new - self.older.keys())
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for word, got in zip(some, self.encode(some, add_special_tokens=False)):
-                self.memo[word] = np.array(got.ids, dtype="<u4").tobytes()
+                self.memo[word] = array("I", got.ids).tobytes()
         known = self.memo.__getitem__
         return [b"".join(map(known, p)) for p in parts]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redquill.llm import mixing, packing, simhash, substring
+from redquill.llm import capsim, mixing, packing, simhash, substring
 from redquill.llm.runtime import table
 
 
@@ -17,6 +17,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capsim.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_aggregate(list_transform(e, lambda x: (x IS NULL OR isnan(x) OR isinf(x))::INT), 'max') = 0
+         AND list_aggregate(list_transform(e, lambda x: (x <> 0)::INT), 'max') = 1),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a)
+SELECT v.vec_id, (SELECT count(*) FROM pairs WHERE pairs.a = v.vec_id)::BIGINT AS n_links, min(reach.b) AS component_id, v.vec_id = min(reach.b) AS kept
+FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,8 +61,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_substring_dedup, op5_mixing, op9_simhash)}
+    return {f.__name__: f for f in (op1_packing, op3_cap_filters, op4_substring_dedup, op5_mixing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL}
+    return {"op3_cap_filters": OP3_SQL, "op4_substring_dedup": OP4_SQL}
