@@ -144,3 +144,23 @@ def mixed_counts(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, repea
     # A row with words has a place of its own in its source's stream.
     whole = placed.withColumn("place", F.when(F.col("size") > 0, F.col("start")))
     return whole.join(spans.withColumnRenamed("start", "place"), ["s", "place"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, repeat: float = 3.0, block: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs`` with what the mix takes of them: one row an epoch, the text cut where the quota ends.
+
+    A cut text is its first words, joined by one space. The names s, start, size, epoch, took and
+    source_size, target, h, bucket, base must be free.
+    """
+    rows = docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
+    plain = rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), "size")
+    entries = plan(plain, weights, repeat, block)
+    if not entries:
+        return docs
+    n_docs = docs.count()
+    placed = streams(with_plan(plain, entries), n_docs)
+    takes = cut(mix(placed, entries, block).groupBy("s", "start", "epoch").agg(F.sum("words").alias("took")))
+    held = streams(with_plan(rows.where("size > 0").withColumnRenamed(id_col, "doc_id").withColumn("source", F.col(source_col).cast("string")), entries), n_docs)
+    out = held.join(takes, ["s", "start"])
+    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("took").cast("int"))
+    return out.withColumn(text_col, F.when(F.col("took") < F.col("size"), F.array_join(words, " ")).otherwise(F.col(text_col))).withColumnRenamed("doc_id", id_col).select(*docs.columns)
