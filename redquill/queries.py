@@ -244,12 +244,12 @@ def finding_context(spark, d):
 
 @query(
     rf"""SELECT doc_id, lower(strip_accents(replace(replace(left(text, 200), 'đ', 'd'), 'Đ', 'D'))) AS plain, greatest(1, (octet_length(encode(text)) + 2) // 3)::INT AS tokens,
-levenshtein(left(text, 40), substr(text, 3, 40))::INT AS distance, translate(left(text, 200), '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') AS swapped FROM documents WHERE lang <> 'de' AND lang <> 'es'"""
+levenshtein(regexp_replace(left(text, 40), '[^ -~]', 'x', 'g'), regexp_replace(substr(text, 3, 40), '[^ -~]', 'x', 'g'))::INT AS distance, translate(left(text, 200), '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') AS swapped FROM documents WHERE lang <> 'de' AND lang <> 'es'"""
 )
 def scalar_functions(spark, d):
     t = F.col("text")
     return documents(spark, d).where("lang != 'de' and lang != 'es'").select(
-        "doc_id", F.lower(fn.strip_diacritics(F.translate(F.substring(t, 1, 200), "çÇëïîÿäöüûÄÖÜÛñÑ", "cCeiiyaouuAOUUnN"))).alias("plain"), fn.token_estimate(t).alias("tokens"), F.levenshtein(F.substring(t, 1, 40), F.substring(t, 3, 40)).alias("distance"), fn.tone_swap(F.substring(t, 1, 200)).alias("swapped")
+        "doc_id", F.lower(fn.strip_diacritics(F.translate(F.substring(t, 1, 200), "çÇëïîÿäöüûÄÖÜÛñÑ", "cCeiiyaouuAOUUnN"))).alias("plain"), fn.token_estimate(t).alias("tokens"), F.levenshtein(*(F.regexp_replace(F.substring(t, i, 40), "[^ -~]", "x") for i in (1, 3))).alias("distance"), fn.tone_swap(F.substring(t, 1, 200)).alias("swapped")
     )
 
 
