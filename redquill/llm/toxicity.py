@@ -90,7 +90,7 @@ class TextCNN:
             seen[np.unique(d)] += 1
         seen[0] = 0
         self.embed[seen < least_docs] = 0
-        rows = np.cumsum(seen >= least_docs) * (seen >= least_docs)  # 0: no evidence
+        rows = (np.cumsum(seen >= least_docs) * (seen >= least_docs)).astype(np.int32)  # 0: no evidence
         docs = [rows[d] for d in docs]
         table = np.concatenate([self.embed[:1], self.embed[seen >= least_docs]])
         past = np.full(len(table), 1e-8, np.float32)  # sums of squared gradients, for steps on the rows of a batch
@@ -144,7 +144,7 @@ class TextCNN:
                     v *= 0.999
                     v += 0.001 * g * g
                     q -= (rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-        self.rows, self.embed = rows.astype(np.int32), table
+        self.rows, self.embed = rows, table
 
     def evidence(self, buckets: np.ndarray) -> np.ndarray:
         """Of (words, SLOTS) buckets: (words, places, filters), embedding @ filter for every width and place."""
@@ -201,17 +201,20 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, common: float = 0.3)
 class Trained:
     """What scoring needs: the model with its calibration, and the thresholds."""
 
-    def __init__(self, model: TextCNN | None, prior: float, thresholds: dict[str, float], common: float, kept_words: int = 250_000):
+    def __init__(self, model: TextCNN | None, prior: float, thresholds: dict[str, float], common: float, kept_words: int = 120_000):
         self.model, self.prior, self.thresholds, self.common, self.kept_words = model, prior, thresholds, common, kept_words
         self.known: _Known | None = None
 
     def _evidence(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.known is None or len(self.known) > self.kept_words:
-            self.known, self.table = _Known(), np.zeros((0, sum(self.model.widths), self.model.conv[0].shape[2]), np.float32)
+            self.known, self.table, self.filled = _Known(), np.zeros((1 << 14, sum(self.model.widths), self.model.conv[0].shape[2]), np.float32), 0
         words = [words_of(t) for t in texts]
         ids = [np.fromiter(map(self.known.__getitem__, w), np.int64, len(w)) for w in words]
-        if len(self.known.buckets) > len(self.table):
-            self.table = np.concatenate([self.table, self.model.evidence(np.array(self.known.buckets[len(self.table) :], np.int32))])
+        while len(self.known.buckets) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if len(self.known.buckets) > self.filled:
+            self.table[self.filled : len(self.known.buckets)] = self.model.evidence(np.array(self.known.buckets[self.filled :], np.int32))
+            self.filled = len(self.known.buckets)
         return [self.table[i] for i in ids]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -221,30 +224,36 @@ class Trained:
         return self.model.scores(np.concatenate(parts)) if parts else np.zeros(0)
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", order_col: str = "doc_id", sample: int = 7000, sample_words: int = 20_000, least_lang: int = 150) -> Trained:
-    """Fit on at most ``sample`` labelled texts of at most ``sample_words`` words, taken by hash of the id.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample: int = 4000, sample_words: int = 20_000, least_lang: int = 100) -> Trained:
+    """Fit on the texts of at most ``sample`` ids of ``labels``, by hash of the id, of at most ``sample_words`` words.
 
-    Every fifth of them is held back for the calibration and the thresholds. A language with fewer
-    than ``least_lang`` held-back texts uses the common threshold.
+    The sampled labels are joined where the texts lie, so only their words' buckets are moved; of
+    texts that share an id one is taken. Every fifth text is held back for the calibration and the
+    thresholds. A language with fewer than ``least_lang`` held-back texts uses the common threshold.
     """
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_ids(t).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1), b.column(2)], names=["ids", "label", "lang"])
-
-    rows = labelled.where(F.col(label_col).isNotNull()).withColumn("_h", F.xxhash64(F.lit(9), order_col)).orderBy("_h", order_col, text_col).limit(sample)
-    got = rows.select(F.col(text_col), F.col(label_col).cast("int"), F.col(lang_col).cast("string")).mapInArrow(ids, "ids binary, label int, lang string").where(F.length("ids") <= 4 * SLOTS * sample_words).toArrow()
-    docs = [np.frombuffer(x, np.int32).reshape(-1, SLOTS) for x in got.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_ids(t).tobytes() for t in b.column(1).to_pylist()], pa.binary()), b.column(2), b.column(3)], names=["id", "ids", "label", "lang"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    some = some.orderBy(F.xxhash64(F.lit(9), "_id"), "_id").limit(sample)
+    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col(id_col), F.col(text_col), "_label", F.col(lang_col).cast("string"))
+    rows = rows.mapInArrow(ids, f"id {kind}, ids binary, label int, lang string").where(F.length("ids") <= 4 * SLOTS * sample_words)
+    got = rows.groupBy("id").agg(F.min(F.struct("ids", "label", "lang")).alias("r")).select("r.*").toArrow()
+    texts = [np.frombuffer(x, np.int32).reshape(-1, SLOTS) for x in got.column("ids").to_pylist()]
     labels = np.array([1.0 if x == 1 else 0.0 for x in got.column("label").to_pylist()])
     langs = got.column("lang").to_pylist()
+    del got
     if len(set(labels.tolist())) < 2:
         return Trained(None, float(labels.mean()) if len(labels) else 0.0, {}, 0.3)
-    order = sorted(range(len(docs)), key=lambda i: (zlib.crc32(docs[i].tobytes()), i))  # the sample's order may differ between runs
+    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].tobytes()), i))  # the sample's order may differ between runs
     held = np.array(order[::5])
     rest = np.array([i for k, i in enumerate(order) if k % 5])
     model = TextCNN()
-    model.fit([docs[i] for i in rest], labels[rest])
-    logits = model.logits(model.evidence(docs[i]) for i in held)
+    model.fit([texts[i] for i in rest], labels[rest])
+    logits = model.logits(model.evidence(texts[i]) for i in held)
     model.calibrate(logits, labels[held])
     scores = model.scores(logits)
     common = best_threshold(scores, labels[held])
