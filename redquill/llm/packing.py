@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 END_ID = 1
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 
 # In texts without a character from U+0130 on, these are the tokenizer's own pre-tokens once the
 # text is in lower case: contractions, runs of letters, single digits, runs of anything else.
@@ -91,8 +91,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
                 encoded = [x + end for x in encoder([t or "" for t in b.column(1).to_pylist()])]
                 rows, starts, lengths, ids, totals = [], [], [], [], []
                 for row, x in enumerate(encoded):

@@ -36,15 +36,15 @@ def word_buckets(word: str) -> tuple[int, ...]:
 
 
 class _Known(dict):
-    """Word -> its number; ``buckets`` has a row a number. Number 0 is padding."""
+    """Word -> its number; ``new`` has the buckets of those last numbered. Number 0 is padding."""
 
     def __init__(self):
-        super().__init__()
-        self.buckets = [(0,) * SLOTS]
+        super().__init__({"": 0})
+        self.new = [(0,) * SLOTS]
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.buckets)
-        self.buckets.append(word_buckets(word))
+        self[word] = n = len(self)
+        self.new.append(word_buckets(word))
         return n
 
 
@@ -201,27 +201,26 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, common: float = 0.3)
 class Trained:
     """What scoring needs: the model with its calibration, and the thresholds."""
 
-    def __init__(self, model: TextCNN | None, prior: float, thresholds: dict[str, float], common: float, kept_words: int = 120_000):
+    def __init__(self, model: TextCNN | None, prior: float, thresholds: dict[str, float], common: float, kept_words: int = 100_000):
         self.model, self.prior, self.thresholds, self.common, self.kept_words = model, prior, thresholds, common, kept_words
         self.known: _Known | None = None
 
     def _evidence(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.known is None or len(self.known) > self.kept_words:
-            self.known, self.table, self.filled = _Known(), np.zeros((1 << 14, sum(self.model.widths), self.model.conv[0].shape[2]), np.float32), 0
+            self.known, self.table = _Known(), np.zeros((1 << 14, sum(self.model.widths), self.model.conv[0].shape[2]), np.float32)
         words = [words_of(t) for t in texts]
         ids = [np.fromiter(map(self.known.__getitem__, w), np.int64, len(w)) for w in words]
-        while len(self.known.buckets) > len(self.table):
+        while len(self.known) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        if len(self.known.buckets) > self.filled:
-            self.table[self.filled : len(self.known.buckets)] = self.model.evidence(np.array(self.known.buckets[self.filled :], np.int32))
-            self.filled = len(self.known.buckets)
+        if self.known.new:
+            self.table[len(self.known) - len(self.known.new) : len(self.known)] = self.model.evidence(np.array(self.known.new, np.int32))
+            self.known.new = []
         return [self.table[i] for i in ids]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.model is None:
             return np.full(len(texts), self.prior)
-        parts = [self.model.logits(self._evidence(texts[i : i + 64])) for i in range(0, len(texts), 64)]
-        return self.model.scores(np.concatenate(parts)) if parts else np.zeros(0)
+        return self.model.scores(self.model.logits(self._evidence(texts)))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample: int = 4000, sample_words: int = 20_000, least_lang: int = 100) -> Trained:
@@ -276,7 +275,8 @@ def score(docs: DataFrame, trained: Trained, *, text_col: str = "text", lang_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
-            scores = trained(b.column(at[text_col]).to_pylist())
+            texts = b.column(at[text_col])
+            scores = np.concatenate([trained(texts.slice(i, 64).to_pylist()) for i in range(0, len(texts), 64)] or [np.zeros(0)])
             cuts = [trained.thresholds.get(x, trained.common) for x in b.column(at[lang_col]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array(cuts, pa.float64())], names=[*b.schema.names, "score", "threshold"])
 
