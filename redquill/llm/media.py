@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redquill.llm.runtime import bounded_batches
+
 UNIT = 576
 AC = 63
 
@@ -387,6 +389,7 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Without ``tensors`` the three large columns are given as their digests: payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     large = "payload binary, media binary, height int, width int, rgb binary"
     digests = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redquill.llm.runtime import bounded_batches
+
 CAPACITY = 2048
 END_ID = 1
 MEMO_WORDS = 250_000
@@ -85,6 +87,7 @@ def word_encoder(path: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens."""
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 

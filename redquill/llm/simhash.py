@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redquill.llm.components import components, local_roots
-from redquill.llm.runtime import cut
+from redquill.llm.runtime import bounded_batches, cut
 
 SEED = 42
 LANES = 1 << 18
@@ -52,6 +52,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long, for every row."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redquill.llm.runtime import bounded_batches
+
 BUCKETS = 1 << 18
 PREFIXES = (5, 6, 7, 8)
 SLOTS = 1 + len(PREFIXES)
@@ -235,6 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_ids(t).tobytes() for t in b.column(1).to_pylist()], pa.binary()), b.column(2), b.column(3)], names=["id", "ids", "label", "lang"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     some = some.orderBy(F.xxhash64(F.lit(9), "_id"), "_id").limit(sample)
@@ -266,6 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, trained: Trained, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with score, threshold (of its language) and toxic; these names must be free."""
+    bounded_batches(docs.sparkSession)
     clash = {"score", "threshold", "toxic"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
