@@ -27,7 +27,7 @@ from redquill.llm.runtime import bounded_batches
 
 CAPACITY = 2048
 END_ID = 1
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000
 
 # In texts without a character from U+0130 on, these are the tokenizer's own pre-tokens once the
 # text is in lower case: contractions, runs of letters, single digits, runs of anything else.
@@ -80,22 +80,22 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
-    """One a Python worker, so that later tasks find its memo filled."""
-    return WordEncoder(path)
+def word_encoder(path: str, memo_words: int) -> WordEncoder:
+    """One a Python worker, so that later tasks find its memo filled; about 400 bytes a word of ``memo_words``."""
+    return WordEncoder(path, memo_words)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens."""
     bounded_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, memo_words)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
                 encoded = [x + end for x in encoder([t or "" for t in b.column(1).to_pylist()])]
                 rows, starts, lengths, ids, totals = [], [], [], [], []
                 for row, x in enumerate(encoded):
@@ -159,9 +159,9 @@ def pack_pieces(pieces: DataFrame, *, n_docs: int, capacity: int = CAPACITY, gro
     return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, carry_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, carry_ids: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Pieces with their place in a sequence; with ``carry_ids`` each has its token ids, else their CRC-32."""
-    pieces = token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id)
+    pieces = token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, memo_words=memo_words)
     if not carry_ids:
         pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack_pieces(pieces, n_docs=docs.count(), capacity=capacity)
