@@ -66,8 +66,12 @@ def onset_repair(word: Column) -> Column:
     return F.when((F.length(word) >= 2) & low.rlike(f"[{MARKED}]"), fixed)
 
 
+# Words that can need a repair: by their onset, so that no other word enters the fold.
+ONSET = f"(?<!{WORD[:-1]})(?iu:ng[{FRONT}]|g[{NOT_I}]|c[{FRONT}]|q){WORD[:-1]}*"
+
+
 def syllable_onset(text: Column) -> Column:
-    found = F.transform(spans(text, WORD), lambda m: F.struct(m.alias("m"), onset_repair(m["source_text"]).alias("fix")))
+    found = F.transform(spans(text, ONSET), lambda m: F.struct(m.alias("m"), onset_repair(m["source_text"]).alias("fix")))
     return F.transform(F.filter(found, lambda f: f["fix"].isNotNull()), lambda f: _finding(f["m"]["start"], f["m"]["end"], f["m"]["source_text"], "spelling", F.lit("syllable.onset.v2"), f["fix"], 0.99, 5))
 
 
