@@ -93,7 +93,6 @@ class TextCNN:
         seen[0] = 0
         self.embed[seen < least_docs] = 0
         rows = (np.cumsum(seen >= least_docs) * (seen >= least_docs)).astype(np.int32)  # 0: no evidence
-        docs = [rows[d] for d in docs]
         table = np.concatenate([self.embed[:1], self.embed[seen >= least_docs]])
         past = np.full(len(table), 1e-8, np.float32)  # sums of squared gradients, for steps on the rows of a batch
         params = [*self.conv, self.bias, self.out, self.base]
@@ -104,6 +103,7 @@ class TextCNN:
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
                 flat, starts = self._batch([docs[i] for i in some])
+                flat = rows[flat]
                 x = table[flat].sum(axis=1)
                 grads = [*(np.zeros_like(c) for c in self.conv), np.zeros_like(self.bias), None, None]
                 picked, pooled = [], []
@@ -244,7 +244,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col(id_col), F.col(text_col), "_label", F.col(lang_col).cast("string"))
     rows = rows.mapInArrow(ids, f"id {kind}, ids binary, label int, lang string").where(F.length("ids") <= 4 * SLOTS * sample_words)
     got = rows.groupBy("id").agg(F.min(F.struct("ids", "label", "lang")).alias("r")).select("r.*").toArrow()
-    texts = [np.frombuffer(x, np.int32).reshape(-1, SLOTS) for x in got.column("ids").to_pylist()]
+    held = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.binary())
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    # Views of one buffer: small copies of every text would stay with the driver's allocator.
+    ends = np.frombuffer(held.buffers()[1], np.int32, len(held) + 1, held.offset * 4) if len(held) else np.zeros(1, np.int32)
+    texts = [np.frombuffer(held.buffers()[2], np.int32, (b - a) // 4, a).reshape(-1, SLOTS) if b > a else np.zeros((0, SLOTS), np.int32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
     labels = np.array([1.0 if x == 1 else 0.0 for x in got.column("label").to_pylist()])
     langs = got.column("lang").to_pylist()
     del got
