@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redquill.functions import text as fn
-from redquill.operators import arbitrate, detectors, evaluate
+from redquill.operators import administrative, arbitrate, chunking, detectors, evaluate, lexical
 from redquill.plans.rules import rule_findings
 from redquill.sources.blocks import blocks_from_text, inspect
 
@@ -371,3 +371,57 @@ def lexicon_build(spark, d):
 
     found = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(f"({fn.WORD})"), F.lit(1))).alias("w"))
     return build(found, "[a-zà-ỹđ]{2,7}")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+# Words with e for ẻ are looked up among those with e for ẽ and the plain ones.
+@query(
+    rf"""WITH raw AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{fn.WORD}'))) AS p FROM documents),
+words AS (SELECT DISTINCT translate(p, 'e', 'ẻ') AS w FROM raw WHERE length(p) <= 7), syllables AS (SELECT p AS cand FROM raw UNION SELECT translate(p, 'e', 'ẽ') FROM raw),
+horns(n, a, b) AS (VALUES {_values((n, *x) for n, x in enumerate(lexical.DOUBLE_HORN))}), reps(n, a, b) AS (VALUES {_values((n, *x) for n, x in enumerate(lexical.REPLACEMENTS))}), fams(f) AS (VALUES {_values((v,) for v in fn.VOWELS)}),
+chars AS (SELECT w, i, substr(w, i, 1) AS c FROM (SELECT w, unnest(generate_series(1, length(w))) AS i FROM words)),
+cands AS (SELECT w, 0 AS k, 0 AS i, 0 AS j, translate(w, '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') AS cand FROM words WHERE translate(w, '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') <> w
+  UNION ALL SELECT w, 1, n, 0, replace(w, a, b) FROM words JOIN horns ON contains(w, a)
+  UNION ALL SELECT w, 2, n, 0, left(w, instr(w, a) - 1) || b || substr(w, instr(w, a) + length(a)) FROM words JOIN reps ON contains(w, a)
+  UNION ALL SELECT w, 3, i, j, left(w, i - 1) || substr(f, j, 1) || substr(w, i + 1) FROM chars JOIN fams ON contains(f, c) CROSS JOIN range(1, 7) r(j) WHERE substr(f, j, 1) <> c),
+best AS (SELECT w, cand, min(k * 1000000 + i * 1000 + j) AS rank FROM cands WHERE cand IN (SELECT cand FROM syllables) GROUP BY w, cand)
+SELECT w, cand, (row_number() OVER (PARTITION BY w ORDER BY rank))::INT AS n FROM best"""
+)
+def suggest_corrections(spark, d):
+    raw = documents(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({fn.WORD})"), F.lit(1))).alias("p")).distinct()
+    words = raw.where("length(p) <= 7").select(F.translate("p", "e", "ẻ").alias("w"))
+    syllables = raw.select(F.col("p").alias("w")).union(raw.select(F.translate("p", "e", "ẽ"))).distinct()
+    found = lexical.corrections(words, syllables)
+    return found.select("w", "cand", F.row_number().over(Window.partitionBy("w").orderBy("rank")).alias("n"))
+
+
+# Both greedy rules of chunking: the state of a block follows from the one before it in its document.
+def _walk_sql(size: str, first: str, after: str) -> str:
+    return f"""WITH RECURSIVE {blocks_sql()}, b AS MATERIALIZED (SELECT doc_id, block_ord, {size} AS size, row_number() OVER (PARTITION BY doc_id ORDER BY block_ord) AS n FROM blocks),
+walk AS (SELECT doc_id, block_ord, n, 0 AS chunk, {first} FROM b WHERE n = 1 UNION ALL SELECT b.doc_id, b.block_ord, b.n, {after} FROM walk w JOIN b ON b.doc_id = w.doc_id AND b.n = w.n + 1)
+SELECT doc_id, block_ord::INT AS block_ord, chunk::INT AS chunk FROM walk"""
+
+
+@query(_walk_sql("length(text)", "size AS held", "CASE WHEN w.held + b.size > 4000 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.held + b.size > 4000 THEN b.size ELSE w.held + b.size END"))
+def chunk_pack_chars(spark, d):
+    return chunking.packed(blocks_from_text(documents(spark, d)))
+
+
+@query(_walk_sql("greatest(1, (octet_length(encode(text)) + 2) // 3)", "size AS held, true AS free", "CASE WHEN w.free AND w.held + b.size <= 400 THEN w.chunk ELSE w.chunk + 1 END, b.size, NOT (w.free AND w.held + b.size <= 400)"))
+def chunk_pairs(spark, d):
+    return chunking.paired(blocks_from_text(documents(spark, d)), fn.token_estimate(F.col("text")))
+
+
+@query()
+def sentences(spark, d):
+    return chunking.sentences(blocks_from_text(documents(spark, d)))
+
+
+@query()
+def det_administrative(spark, d):
+    """The text with a citation before every stop; see the tests for phrases and golden findings."""
+    docs = documents(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(" chương iv và quận 1. ")))
+    return administrative.findings(blocks_from_text(docs))
