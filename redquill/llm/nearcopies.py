@@ -4,9 +4,12 @@ Equal word sequences form one class. A class has the set of its shingles' XXH64,
 bits of that set and ``BANDS`` keys of ``ROWS`` minimum hashes each (64 fingerprint bits alone can't
 hold a similarity of 0.8: such pairs differ in about 10 bits, too many for exact bit ranges).
 Classes that share a key are compared in pairs of blocks: bit planes, carry-save counters, and words
-of 64 lanes that are abandoned once all their lanes are past the radius. Of a pair of blocks only a
-minimum spanning forest by distance goes on, so output is linear in members. Edges well inside the
-radius are links; those around it are checked exactly on whole shingle sets.
+of 64 lanes that are abandoned once all their lanes are past the radius. Edges well inside the
+radius are links; those around it are checked exactly on whole shingle sets. That happens twice: first
+for a minimum spanning forest by distance of each pair of blocks, so that output is linear in members;
+then for every pair whose classes the first check left in different components, since a forest may
+hold an edge that fails in the place of one that would pass. The second time whole sets stand in the
+blocks and pairs are checked there, each at the first key it shares, so that rows stay linear too.
 
 A pair with similarity 0.8 shares a key with probability 0.9996, one with 0.85 with 0.999997.
 
@@ -177,61 +180,129 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, cls long, n long, fp binary, keys array<long>")
 
 
-def candidate_edges(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """a, b, d: forests of the classes that share a key, have sizes that allow ``similarity``, and lie within RADIUS."""
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """key, cls: the keys that several classes have."""
     spread = classes.select("cls", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    rows = spread.join(shared, "key").join(classes.select("cls", "n", "fp"), "cls")
+    shared = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return cut(spread.join(shared, "key"))
+
+
+def block_pairs(members: DataFrame, block: int, columns: tuple[str, ...]) -> DataFrame:
+    """key, p, q: pairs of blocks of the members (key, root, ``columns``) of the keys that hold several roots."""
+    open_keys = members.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "c")
     blocks = cut(
-        rows.withColumn("chunks", F.ceil(F.col("c") / block)).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
-        .groupBy("key", "chunk", "chunks").agg(F.collect_list("cls").alias("ids"), F.collect_list("n").alias("ns"), F.collect_list("fp").alias("fps"))
+        members.join(open_keys, "key").withColumn("chunks", F.ceil(F.col("c") / block)).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+        .groupBy("key", "chunk", "chunks").agg(F.collect_list(F.struct("root", *columns)).alias("m"))
     )
-    side = lambda s: blocks.select("key", F.col("chunk").alias(f"{s}_chunk"), F.struct("ids", "ns", "fps").alias(s))
-    pairs = side("p").join(side("q"), "key").where("p_chunk < q_chunk or (p_chunk = q_chunk and size(p.ids) > 1)").select("p", "q")
+    side = lambda s: blocks.select("key", F.col("chunk").alias(f"{s}_chunk"), F.struct(*(F.col(f"m.{c}").alias(c) for c in ("root", *columns))).alias(s))
+    return side("p").join(side("q"), "key").where("p_chunk < q_chunk or (p_chunk = q_chunk and size(p.cls) > 1)").select("key", "p", "q", (F.col("p_chunk") == F.col("q_chunk")).alias("one"))
+
+
+def fitting(key: int, p: dict, q: dict, one: bool, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j of pairs of two blocks with different roots and sizes that allow ``similarity``, and their fingerprints.
 
-    def read(members: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(members["ids"], np.int64), np.array(members["ns"], np.int64), np.frombuffer(b"".join(members["fps"]), "<u8").reshape(-1, WIDTH)
+    Where the blocks have ``keys``, only pairs whose first shared key is ``key``.
+    """
+    (pr, pn, pf), (qr, qn, qf) = ((np.array(x["root"], np.int64), np.array(x["n"], np.int64), np.frombuffer(b"".join(x["fp"]), "<u8").reshape(-1, WIDTH)) for x in (p, q))
+    fits = (np.minimum.outer(pn, qn) >= similarity * np.maximum.outer(pn, qn)) & (pr[:, None] != qr[None, :])
+    i, j = np.nonzero(np.triu(fits, 1) if one else fits)
+    if len(i) and "keys" in p:
+        pk, qk = np.array(p["keys"], np.int64), np.array(q["keys"], np.int64)
+        first = np.argmax(pk[i] == qk[j], axis=1)
+        here = pk[i, first] == key
+        i, j = i[here], j[here]
+    return i, j, pf[i], qf[j]
+
+
+def candidate_edges(members: DataFrame, classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b, d: forests of the classes that share a key, have sizes that allow ``similarity``, and lie within RADIUS."""
+    rows = members.join(classes.select("cls", "n", "fp"), "cls").withColumn("root", F.col("cls"))
+
+    def near(waiting: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        d = distances(np.concatenate([w[2] for w in waiting]), np.concatenate([w[3] for w in waiting]), RADIUS)
+        at, found = 0, []
+        for ids, others, x, _ in waiting:
+            here, at = d[at : at + len(x)], at + len(x)
+            hit = here >= 0
+            if hit.any():
+                a, b, far = np.minimum(ids, others)[hit], np.maximum(ids, others)[hit], here[hit]
+                f = forest(a, b, far)
+                found.append((a[f], b[f], far[f]))
+        parts = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["a", "b", "d"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, ...]] = []
-            waiting: list[tuple[np.ndarray, ...]] = []
-
-            def flush() -> None:
-                if not waiting:
-                    return
-                d = distances(np.concatenate([w[2] for w in waiting]), np.concatenate([w[3] for w in waiting]), RADIUS)
-                at = 0
-                for ids, others, x, _ in waiting:
-                    here, at = d[at : at + len(x)], at + len(x)
-                    hit = here >= 0
-                    if hit.any():
-                        a, b, near = np.minimum(ids, others)[hit], np.maximum(ids, others)[hit], here[hit]
-                        f = forest(a, b, near)
-                        found.append((a[f], b[f], near[f]))
-                waiting.clear()
-
-            held = 0
-            for p, q in zip(batch.column(0), batch.column(1)):
-                (pi, pn, pf), (qi, qn, qf) = read(p.as_py()), read(q.as_py())
-                fits = np.minimum.outer(pn, qn) >= similarity * np.maximum.outer(pn, qn)
-                i, j = np.nonzero(fits & (pi[:, None] != qi[None, :]))
+            waiting, held = [], 0
+            for key, p, q, one in zip(*batch.columns):
+                p, q = p.as_py(), q.as_py()
+                i, j, x, y = fitting(key.as_py(), p, q, one.as_py(), similarity)
                 if len(i):
-                    waiting.append((pi[i], qi[j], pf[i], qf[j]))
+                    waiting.append((np.array(p["cls"], np.int64)[i], np.array(q["cls"], np.int64)[j], x, y))
                     held += len(i)
                 if held >= 1 << 15:
-                    flush()
-                    held = 0
-            flush()
-            parts = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["a", "b", "d"])
+                    yield near(waiting)
+                    waiting, held = [], 0
+            if waiting:
+                yield near(waiting)
 
-    return pairs.mapInArrow(compare, "a long, b long, d long").distinct()
+    return block_pairs(rows, block, ("cls", "n", "fp")).mapInArrow(compare, "a long, b long, d long").distinct()
 
 
-def verified(edges: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The edges whose whole shingle sets have the similarity; only texts of their classes are moved."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def unsettled(members: DataFrame, classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """key, cls: members (key, cls, root) that have a candidate of another root at that key, the first the two share."""
+    rows = members.join(classes.select("cls", "n", "fp", "keys"), "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, p, q, one in zip(*batch.columns):
+                key, p, q = key.as_py(), p.as_py(), q.as_py()
+                i, j, x, y = fitting(key, p, q, one.as_py(), similarity)
+                hit = distances(x, y, RADIUS)[: len(i)] >= 0
+                if hit.any():
+                    cls = np.unique(np.concatenate([np.array(p["cls"], np.int64)[i[hit]], np.array(q["cls"], np.int64)[j[hit]]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), key)), pa.array(cls)], names=["key", "cls"])
+
+    return block_pairs(rows, block, ("cls", "n", "fp", "keys")).mapInArrow(run, "key long, cls long").distinct()
+
+
+def exact_links(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK // 2) -> DataFrame:
+    """a, b: links that join the roots of the members (key, cls, root) wherever a candidate's whole sets have the similarity."""
+    rows = members.join(classes.select("cls", "n", "fp", "keys"), "cls").join(sets, "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, p, q, one in zip(*batch.columns):
+                sp, sq = ([np.array(s.values, np.int64) for s in x["s"]] for x in (p, q))
+                p, q = ({c: x[c].as_py() for c in ("root", "cls", "n", "fp", "keys")} for x in (p, q))
+                i, j, x, y = fitting(key.as_py(), p, q, one.as_py(), similarity)
+                d = distances(x, y, RADIUS)[: len(i)]
+                order = np.argsort(d, kind="stable")
+                up: dict[int, int] = {}
+
+                def root(r: int) -> int:
+                    while r in up:
+                        r = up[r]
+                    return r
+
+                a, b = [], []
+                for k in order[np.searchsorted(d[order], 0) :].tolist():
+                    u, v = root(p["root"][i[k]]), root(q["root"][j[k]])
+                    if u == v:  # joined already: another link changes no component
+                        continue
+                    l, r = sp[i[k]], sq[j[k]]
+                    shared = len(l) + len(r) - len(np.union1d(l, r))
+                    if shared >= similarity * (len(l) + len(r) - shared):
+                        up[u] = v
+                        a.append(p["cls"][i[k]])
+                        b.append(q["cls"][j[k]])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return block_pairs(rows, block, ("cls", "n", "fp", "keys", "s")).mapInArrow(run, "a long, b long")
+
+
+def whole_sets(nodes: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """cls, s (its whole shingle set) of the classes in ``nodes``; only texts of these are moved."""
     wanted = cut(first.join(nodes, "cls", "left_semi").select("doc_id").distinct())
     if wanted.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond it, a shuffled semi join
         wanted = F.broadcast(wanted)
@@ -243,7 +314,12 @@ def verified(edges: DataFrame, docs: DataFrame, first: DataFrame, shingle: int,
             cls = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([shingle_set(w, shingle).view(np.int64) for w in words], pa.list_(pa.int64()))], names=["cls", "s"])
 
-    sets = texts.select("text").mapInArrow(run, "cls long, s array<long>").join(nodes, "cls", "left_semi").dropDuplicates(["cls"])
+    return texts.select("text").mapInArrow(run, "cls long, s array<long>").join(nodes, "cls", "left_semi").dropDuplicates(["cls"])
+
+
+def verified(edges: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The edges whose whole shingle sets have the similarity."""
+    sets = whole_sets(edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, first, shingle, id_col, text_col)
     both = edges.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -258,9 +334,18 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ids = rows.select("doc_id", "cls")
     first = ids.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     classes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    edges = cut(candidate_edges(classes, similarity))
+    members = shared_keys(classes)
+    edges = cut(candidate_edges(members, classes, similarity))
     checked = verified(edges.where(F.col("d") > SURE).select("a", "b"), docs, first, shingle, similarity, id_col, text_col)
-    moved = cut(components(edges.where(F.col("d") <= SURE).select("a", "b").unionByName(checked)))
+    links = cut(edges.where(F.col("d") <= SURE).select("a", "b").unionByName(checked))
+    moved = cut(components(links))
+    # Whatever the forests left out and could still join two components.
+    apart = members.join(moved.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    rest = cut(unsettled(apart, classes, similarity))
+    if not rest.isEmpty():
+        sets = whole_sets(rest.select("cls").distinct(), docs, first, shingle, id_col, text_col)
+        more = cut(exact_links(apart.join(rest, ["key", "cls"], "left_semi"), classes, sets, similarity))
+        moved = cut(components(links.unionByName(more)))
     named = first.join(moved.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return ids.join(named.join(least, "root").select("cls", "component_id"), "cls").select("doc_id", "cls", "component_id")

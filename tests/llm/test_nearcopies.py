@@ -57,6 +57,23 @@ def test_a_hot_group_spans_blocks(spark, monkeypatch):
     assert len(got) == 700 and {x.component_id for x in got} == {0}
 
 
+def test_partners_around_the_similarity_are_not_lost(spark):
+    """Groups whose pairs lie on both sides of 0.8: a nearer pair under 0.8 mustn't hide one that passes."""
+    r = random.Random(7)
+    rows = []
+    for _ in range(40):
+        words = [f"w{r.randrange(10**6)}" for _ in range(254)]
+        for _ in range(12):
+            copy = list(words)
+            for at in r.sample(range(254), r.choice([2, 3, 3, 3])):
+                copy[at] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = {x.doc_id: x.component_id for x in nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: c for at in range(0, len(rows), 12) for i, c in brute(rows[at : at + 12]).items()}
+    assert got == want
+    assert 40 < len(set(want.values())) < 480
+
+
 def test_no_rows_null_ids_and_repeated_rows(spark):
     schema = "doc_id long, text string, cls string, fp int"
     assert nc.near_copies(spark.createDataFrame([], schema)).count() == 0
