@@ -159,6 +159,14 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_pass_lines_of_equal_signs(spark):
+    key = "Zk3vQ9xT1bWm7RpL0sYc8HdN4gFa"
+    rows = [(1, "=" * 30), (2, "head\na" + "=" * 25 + "\ntail"), (3, "ab" + "=" * 20), (4, f"x {key} y")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].spans for i in (1, 2)] == ["", ""]
+    assert len(got) == 4 and got[4].spans == f"random:2:{2 + len(key)}"
+
+
 def test_media_round_trip(spark, docs):
     for r in media.media_columns(docs).collect():
         want = media.padded(TEXTS[r.doc_id] if r.doc_id is not None else "null id " * 20)
