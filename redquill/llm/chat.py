@@ -2,17 +2,17 @@
 
 Messages are rows (conversation, turn, role, text). A text that is a JSON object with
 ``tool_calls`` makes calls ({id, name, arguments, after}), one with ``tool_call_id`` is a result;
-any other text is plain. Calls and results are hash-joined by conversation and identifier, after
-each side is brought to one row a key. A call's ``after`` names the call that must come first;
+any other text is plain. The first call and result of an identifier are hash-joined by conversation
+and identifier; every other call and result keeps a row of its own. A call's ``after`` names the call that must come first;
 depths in that forest are found by pointer doubling, so a chain of n calls takes log n joins, and
 calls on a cycle are reported. Arguments are validated against the tools' schemas, and everything is
 written as canonical JSON: sorted keys, no spaces, whole numbers without a fraction.
 
-Nothing is gathered by conversation: the order within one is given by (turn, level, kind, call_id).
+Nothing is gathered by conversation: the order within one is given by (turn, n, level, kind, call_id).
 
 Defined cases: a null text is an empty plain message; text that looks like JSON and isn't is plain;
 calls without an id can't be linked; of calls or results with one identifier the first turn counts
-and the others are ``duplicate``; arguments that are null are an empty object; a null turn comes
+and the others are ``duplicate``; a message with calls, or an empty list of them, has a row ``calls``; arguments that are null are an empty object; a null turn comes
 first; no rows give no rows; columns other than the four are not read.
 """
 
@@ -22,7 +22,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redquill.llm.runtime import cut
@@ -94,9 +94,9 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """conv_id, turn, level, kind (message, call, result), call_id, result_turn, status, json.
+    """conv_id, turn, n (a call's place in its message), level, kind (message, calls, call, result), call_id, result_turn, status, json.
 
-    Status of a message is ``plain``; of a call ``linked``, ``no_result``, ``unknown_tool``,
+    Status of a message, and of one that makes calls, is ``plain``; of a call ``linked``, ``no_result``, ``unknown_tool``,
     ``invalid`` (its arguments), ``cycle``, ``no_id`` or ``duplicate``; of a result that isn't
     in a call's row ``no_call`` or ``duplicate``.
     """
@@ -107,25 +107,35 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     calls = rows.where(is_calls).select("conv_id", "turn", F.posexplode("p.tool_calls").alias("n", "c")).select("conv_id", "turn", "n", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
     results = rows.where(is_result).select("conv_id", "turn", F.col("p.tool_call_id").alias("call_id"), F.col("p.content").alias("content"))
 
-    first_call = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "n", "name", "arguments", "after")).alias("c"), F.count("*").alias("copies")).select("conv_id", "call_id", "c.*", "copies")
-    first_result = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("copies")).select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.col("copies").alias("result_copies"))
+    heads = rows.where(is_calls).select("conv_id", "turn", "role", F.col("p.content").alias("content"))
+
+    same = Window.partitionBy("conv_id", "call_id")
+    known = calls.where("call_id is not null").withColumn("nth", F.row_number().over(same.orderBy("turn", "n", "name", "arguments", "after")))
+    answers = results.withColumn("nth", F.row_number().over(same.orderBy("turn", "content")))
+    first_call = known.where("nth = 1").select("conv_id", "call_id", "turn", "n", "name", "arguments", "after", F.lit(1).alias("copies"))
+    first_result = answers.where("nth = 1").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content")
     first_call = cut(first_call)
     level = depths(first_call)
     linked = first_call.alias("x").hint("shuffle_hash").join(first_result.alias("y"), F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("x.call_id") == F.col("y.call_id")), "full_outer")
-    linked = linked.select(F.coalesce("x.conv_id", "y.conv_id").alias("conv_id"), F.coalesce("x.call_id", "y.call_id").alias("call_id"), "turn", "name", "arguments", "after", "copies", "result_turn", "content", "result_copies")
+    linked = linked.select(F.coalesce("x.conv_id", "y.conv_id").alias("conv_id"), F.coalesce("x.call_id", "y.call_id").alias("call_id"), "turn", "n", "name", "arguments", "after", "copies", "result_turn", "content")
     linked = linked.alias("k").join(level.alias("v"), (F.col("k.conv_id").eqNullSafe(F.col("v.conv_id"))) & (F.col("k.call_id") == F.col("v.call_id")), "left").select("k.*", "v.level")
-    # Later rows with a known identifier, and calls without one, are listed by number only.
-    later_calls = calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("c")).select("conv_id", "call_id", F.when(F.col("call_id").isNull(), F.col("c")).otherwise(F.col("c") - 1).alias("c")).where("c > 0")
-    later_results = first_result.select("conv_id", "call_id", (F.col("result_copies") - 1).alias("c")).where("c > 0")
+    # Later rows with a known identifier, and calls without one.
+    later_calls = known.where("nth > 1").drop("nth").unionByName(calls.where("call_id is null"))
+    later_results = answers.where("nth > 1")
+
+    turn_type = messages.schema["turn"].dataType
+    none = {"n": "int", "call_id": "string", "name": "string", "arguments": "string", "content": "string", "result_turn": turn_type, "level": "long"}
+
+    def part(x: DataFrame, kind: str, *has: str) -> DataFrame:
+        return x.select("conv_id", "turn", F.lit(kind).alias("kind"), *(F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in none.items()))
 
     parts = [
-        plain.select("conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.col("role").alias("name"), F.lit(None).cast("string").alias("arguments"), "content", F.lit(None).cast(messages.schema["turn"].dataType).alias("result_turn"), F.lit(None).cast("long").alias("level")),
-        linked.where("copies is not null").select("conv_id", "turn", F.lit("call").alias("kind"), "call_id", "name", "arguments", "content", "result_turn", "level"),
-        linked.where("copies is null").select("conv_id", F.col("result_turn").alias("turn"), F.lit("result").alias("kind"), "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), "content", "result_turn", "level"),
-        *(
-            x.select("conv_id", F.lit(None).cast(messages.schema["turn"].dataType).alias("turn"), F.lit(f"later_{kind}").alias("kind"), "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.col("c").cast("string").alias("content"), F.lit(None).cast(messages.schema["turn"].dataType).alias("result_turn"), F.lit(None).cast("long").alias("level"))
-            for kind, x in (("call", later_calls), ("result", later_results))
-        ),
+        part(plain.withColumnRenamed("role", "name"), "message", "name", "content"),
+        part(heads.withColumnRenamed("role", "name"), "calls", "name", "content"),
+        part(linked.where("copies is not null"), "call", *none),
+        part(linked.where("copies is null").withColumn("turn", F.col("result_turn")), "result", "call_id", "content", "result_turn"),
+        part(later_calls, "later_call", "n", "call_id", "name", "arguments"),
+        part(later_results, "later_result", "call_id", "content"),
     ]
     every = parts[0]
     for p in parts[1:]:
@@ -136,25 +146,22 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             kinds, states, texts = [], [], []
             for x in b.select(["kind", "call_id", "name", "arguments", "content", "result_turn", "level"]).to_pylist():
                 kind = x["kind"]
-                if kind == "message":
+                if kind in ("message", "calls"):
                     state, value = "plain", {"role": x["name"], "content": x["content"]}
-                elif kind == "result":
-                    state, value = "no_call", {"tool_call_id": x["call_id"], "content": x["content"]}
-                elif kind.startswith("later_"):
-                    state, value = "no_id" if x["call_id"] is None else "duplicate", {"id": x["call_id"], "rows": int(x["content"])}
-                    kind = kind[6:]
+                elif kind in ("result", "later_result"):
+                    state, value = "no_call" if kind == "result" else "duplicate", {"tool_call_id": x["call_id"], "content": x["content"]}
                 else:
                     try:
                         arguments = json.loads(x["arguments"]) if x["arguments"] is not None else {}
                         wrong = violations(arguments, schemas[x["name"]]) if x["name"] in schemas else []
                     except ValueError:
                         arguments, wrong = x["arguments"], ["$: not JSON"]
-                    state = "cycle" if x["level"] is None else "unknown_tool" if x["name"] not in schemas else "invalid" if wrong else "no_result" if x["result_turn"] is None else "linked"
+                    state = ("no_id" if x["call_id"] is None else "duplicate") if kind == "later_call" else "cycle" if x["level"] is None else "unknown_tool" if x["name"] not in schemas else "invalid" if wrong else "no_result" if x["result_turn"] is None else "linked"
                     value = {"id": x["call_id"], "name": x["name"], "arguments": arguments} | ({"violations": wrong} if wrong else {}) | ({"result": x["content"]} if x["result_turn"] is not None else {})
-                kinds.append(kind)
+                kinds.append(kind.removeprefix("later_"))
                 states.append(state)
                 texts.append(canonical(value))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("level"), pa.array(kinds, pa.string()), b.column("call_id"), b.column("result_turn"), pa.array(states, pa.string()), pa.array(texts, pa.string())], names=["conv_id", "turn", "level", "kind", "call_id", "result_turn", "status", "json"])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("n"), b.column("level"), pa.array(kinds, pa.string()), b.column("call_id"), b.column("result_turn"), pa.array(states, pa.string()), pa.array(texts, pa.string())], names=["conv_id", "turn", "n", "level", "kind", "call_id", "result_turn", "status", "json"])
 
     conv, turn = (messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
-    return every.mapInArrow(write, f"conv_id {conv}, turn {turn}, level long, kind string, call_id string, result_turn {turn}, status string, json string")
+    return every.mapInArrow(write, f"conv_id {conv}, turn {turn}, n int, level long, kind string, call_id string, result_turn {turn}, status string, json string")

@@ -144,6 +144,23 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format_chats(df.limit(0), queries.TOOLS).count() == 0
 
 
+def test_chat_keeps_every_call_and_result(spark):
+    call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments"), c)) for c in calls], "content": "see"})
+    rows = [
+        (1, 0, "assistant", call((None, "lookup", '{"keys":["a"]}'), (None, "lookup", '{"keys":[""]}'), ("x", "lookup", '{"keys":["b"]}'))),
+        (1, 1, "assistant", call(("x", "lookup", '{"keys":["c"]}'), ("x", "lookup", '{"keys":["d"]}'))),
+        (1, 2, "tool", '{"tool_call_id":"x","content":"one"}'), (1, 3, "tool", '{"tool_call_id":"x","content":"two"}'), (2, 0, "assistant", call()),
+    ]
+    got = sorted((r.conv_id, r.turn, r.kind, -1 if r.n is None else r.n, r.status, r.json) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.TOOLS).collect())
+    assert [x[:5] for x in got] == [
+        (1, 0, "call", 0, "no_id"), (1, 0, "call", 1, "no_id"), (1, 0, "call", 2, "linked"), (1, 0, "calls", -1, "plain"),
+        (1, 1, "call", 0, "duplicate"), (1, 1, "call", 1, "duplicate"), (1, 1, "calls", -1, "plain"), (1, 3, "result", -1, "duplicate"), (2, 0, "calls", -1, "plain"),
+    ]
+    texts = [json.loads(x[5]) for x in got]
+    assert [texts[i]["arguments"]["keys"] for i in (0, 1, 2, 4, 5)] == [["a"], [""], ["b"], ["c"], ["d"]]
+    assert texts[1]["violations"] == ["$.keys[0]: too short"] and texts[7]["content"] == "two" and texts[8] == {"role": "assistant", "content": "see"}
+
+
 def test_secrets(spark):
     kinds = (("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24))
     random_run = hashlib.sha256(b"x").hexdigest().upper()
