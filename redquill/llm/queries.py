@@ -82,7 +82,7 @@ def tool_conversations(conversations: DataFrame) -> DataFrame:
     arguments = (
         F.when(h < 40, quoted)
         .when(h < 70, F.to_json(F.struct(F.col("text"), F.when(h % 2 == 0, F.lit("words")).otherwise(F.lit("lines")).alias("unit"), (F.length("text") / 2).alias("scale"))))
-        .otherwise(F.to_json(F.struct(F.slice(F.split("text", " "), 1, 3).alias("keys"))))
+        .otherwise(F.to_json(F.struct(F.split("text", " ").alias("keys"))))
     )
     name = F.when(h < 40, "search").when(h < 70, "measure").when(h < 97, "lookup").otherwise("translate")
     call = lambda turn: F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))

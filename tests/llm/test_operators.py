@@ -161,6 +161,14 @@ def test_chat_keeps_every_call_and_result(spark):
     assert texts[1]["violations"] == ["$.keys[0]: too short"] and texts[7]["content"] == "two" and texts[8] == {"role": "assistant", "content": "see"}
 
 
+def test_lookup_calls_hold_whole_texts(spark):
+    texts = [f"w{i} and some more words of turn {i}" for i in range(100)]
+    made = queries.tool_conversations(spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+    calls = {r.conv_id: json.loads(r.text)["tool_calls"][0] for r in made.collect()}
+    keys = {i: json.loads(c["arguments"])["keys"] for i, c in calls.items() if c["name"] == "lookup"}
+    assert len(keys) > 5 and all(k == texts[i].split(" ") for i, k in keys.items())
+
+
 def test_secrets(spark):
     kinds = (("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24))
     random_run = hashlib.sha256(b"x").hexdigest().upper()
