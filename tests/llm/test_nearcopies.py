@@ -78,8 +78,29 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     schema = "doc_id long, text string, cls string, fp int"
     assert nc.near_copies(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, "a b", "x", 1), (4, "a b", "x", 1), (4, "a b", "x", 1), (4, "c d", None, None)]
-    got = sorted(((r.doc_id, r.component_id) for r in nc.near_copies(spark.createDataFrame(rows, schema)).collect()), key=str)
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(((r.doc_id, r.component_id) for r in nc.near_copies(df).collect()), key=str)
     assert got == [(4, 4), (4, 4), (4, 4), (None, 4)]
+    kept = sorted((r.doc_id, r.text, r.cls) for r in nc.one_of_each(df.drop("fp")).collect())
+    assert kept == [(4, "a b", "x"), (4, "c d", None)]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    other = "totally other words than those before and after it"
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, other), (None, "A  b c d e f"), (None, "one null id"), (None, "one NULL id"), (None, "another null id")]
+    kept = sorted(((r.doc_id, r.text) for r in nc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept[:3] == [(1, "a b c d e f"), (2, other), (None, "another null id")] and len(kept) == 4 and kept[3][1].lower() == "one null id"
+
+
+def test_keys_and_radius_follow_from_the_similarity():
+    assert nc.band_rows(0.8) == 5 and nc.radius_of(0.8) == 136
+    assert nc.band_rows(0.5) == 1 and nc.radius_of(0.95) < 136 < nc.radius_of(0.5)
+    r = np.random.default_rng(8)
+    for n in (5, 6, 16, 40):  # just similar sets lie within the radius
+        for _ in range(300):
+            x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = x[: -(n // 5)]
+            assert nc.distances(nc.wide_fingerprint(x)[None], nc.wide_fingerprint(y)[None], nc.radius_of(0.8))[0] >= 0
 
 
 def test_bit_sliced_distances():
