@@ -10,15 +10,18 @@ written as canonical JSON: sorted keys, no spaces, whole numbers without a fract
 
 Nothing is gathered by conversation: the order within one is given by (turn, n, level, kind, call_id).
 
-Defined cases: a null text is an empty plain message; text that looks like JSON and isn't is plain;
+Defined cases: a null text is an empty plain message; text that looks like JSON and isn't, or nests too deep
+for Spark's reader, is plain; blanks before JSON don't matter; arguments that nest deeper than ``DEPTH`` or
+aren't JSON stay a string and are invalid; halves of surrogate pairs are written as escapes;
 calls without an id can't be linked; of calls or results with one identifier the first turn counts
-and the others are ``duplicate``; a message with calls, or an empty list of them, has a row ``calls``; arguments that are null are an empty object; a null turn comes
+and the others are ``duplicate``; rows without a conversation are one conversation of their own; a message with calls, or an empty list of them, has a row ``calls``; arguments that are null are an empty object; a null turn comes
 first; no rows give no rows; columns other than the four are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,10 +32,22 @@ from redquill.llm.runtime import cut
 
 PARSED = "tool_calls array<struct<id:string,name:string,arguments:string,after:string>>, tool_call_id string, content string"
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+DEPTH = 100  # levels of arrays and objects in arguments
+STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+HALVES = re.compile("[\ud800-\udfff]")
+
+
+def depth(text: str) -> int:
+    """How deep brackets nest outside of strings."""
+    level = most = 0
+    for c in re.findall(r"[\[\]{}]", STRINGS.sub("", text)):
+        level += 1 if c in "[{" else -1
+        most = max(most, level)
+    return most
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys and no spaces; 2.0 is written as 2, NaN and infinities as null."""
+    """JSON with sorted keys and no spaces; 2.0 is written as 2, NaN and infinities as null, half a surrogate pair as its escape."""
 
     def plain(v):
         if isinstance(v, dict):
@@ -43,7 +58,8 @@ def canonical(value) -> str:
             return None if v != v or v in (float("inf"), float("-inf")) else int(v) if v.is_integer() and abs(v) < 2**53 else v
         return v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return HALVES.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -80,8 +96,12 @@ def depths(calls: DataFrame) -> DataFrame:
 
     ``calls`` has one row a (conv_id, call_id) and its ``after``; names of absent calls count as none.
     """
-    known = calls.select("conv_id", F.col("call_id").alias("after"))
-    nodes = calls.select("conv_id", "call_id", "after").join(known.withColumn("there", F.lit(True)), ["conv_id", "after"], "left")
+    def with_named(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        """``left`` with what ``right`` has for the call that column ``name`` names in the same conversation."""
+        return left.alias("l").join(right.alias("r"), F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col(f"l.{name}") == F.col(f"r.{name}")), "left").select("l.*", *(f"r.{c}" for c in right.columns if c not in ("conv_id", name)))
+
+    known = calls.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("there"))
+    nodes = with_named(calls.select("conv_id", "call_id", "after"), known, "after")
     nodes = cut(nodes.select("conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("up"), F.when(F.col("there"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("level")))
     total = max(1, nodes.count())
     for _ in range(total.bit_length() + 1):
@@ -89,7 +109,7 @@ def depths(calls: DataFrame) -> DataFrame:
         if nodes.where("up is not null").isEmpty():
             break
         above = nodes.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        nodes = cut(nodes.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+        nodes = cut(with_named(nodes, above, "up").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
     return nodes.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
@@ -101,7 +121,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     in a call's row ``no_call`` or ``duplicate``.
     """
     rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("p", F.when(F.col("text").startswith("{"), F.from_json("text", PARSED, {"mode": "PERMISSIVE"})))
+    rows = rows.withColumn("p", F.when(F.col("text").rlike(r"^[ \t\r\n]*\{"), F.from_json("text", PARSED, {"mode": "PERMISSIVE"})))
     is_calls, is_result = F.col("p.tool_calls").isNotNull(), F.col("p.tool_calls").isNull() & F.col("p.tool_call_id").isNotNull()
     plain = rows.where(~F.coalesce(is_calls | is_result, F.lit(False))).select("conv_id", "turn", "role", F.col("text").alias("content"))
     calls = rows.where(is_calls).select("conv_id", "turn", F.posexplode("p.tool_calls").alias("n", "c")).select("conv_id", "turn", "n", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
@@ -151,11 +171,18 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 elif kind in ("result", "later_result"):
                     state, value = "no_call" if kind == "result" else "duplicate", {"tool_call_id": x["call_id"], "content": x["content"]}
                 else:
-                    try:
-                        arguments = json.loads(x["arguments"]) if x["arguments"] is not None else {}
-                        wrong = violations(arguments, schemas[x["name"]]) if x["name"] in schemas else []
-                    except ValueError:
-                        arguments, wrong = x["arguments"], ["$: not JSON"]
+                    arguments, wrong = x["arguments"], []
+                    if arguments is None:
+                        arguments = {}
+                    elif depth(arguments) > DEPTH:
+                        wrong = [f"$: deeper than {DEPTH}"]
+                    else:
+                        try:
+                            arguments = json.loads(arguments)
+                        except ValueError:
+                            wrong = ["$: not JSON"]
+                    if not wrong and x["name"] in schemas:
+                        wrong = violations(arguments, schemas[x["name"]])
                     state = ("no_id" if x["call_id"] is None else "duplicate") if kind == "later_call" else "cycle" if x["level"] is None else "unknown_tool" if x["name"] not in schemas else "invalid" if wrong else "no_result" if x["result_turn"] is None else "linked"
                     value = {"id": x["call_id"], "name": x["name"], "arguments": arguments} | ({"violations": wrong} if wrong else {}) | ({"result": x["content"]} if x["result_turn"] is not None else {})
                 kinds.append(kind.removeprefix("later_"))

@@ -1,7 +1,9 @@
 """The ten operators against brute force, round trips and held-out accuracy, with the awkward cases."""
 
+import base64
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -161,6 +163,20 @@ def test_chat_keeps_every_call_and_result(spark):
     assert texts[1]["violations"] == ["$.keys[0]: too short"] and texts[7]["content"] == "two" and texts[8] == {"role": "assistant", "content": "see"}
 
 
+def test_chat_passes_halves_of_pairs_deep_nesting_and_null_conversations(spark):
+    call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments", "after"), c)) for c in calls]})
+    rows = [
+        (None, 0, "assistant", " \n" + call(("a", "lookup", r'{"keys":["\ud800"]}', "b"), ("b", "lookup", "[" * 20000, None), ("c", "lookup", "{" * 50, None))), (None, 1, "tool", '{"tool_call_id":"a","content":"r"}'),
+        (1, 0, "assistant", "[" * 5000), (1, 1, "assistant", '{"tool_calls":' + "[" * 5000), (1, 2, "assistant", call(("d", "search", json.dumps({"query": "q" * 300000, "limit": 3}), None))),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, json string")
+    got = {(r.conv_id, r.turn, r.call_id): r for r in chat.format_chats(df, queries.TOOLS).collect() if r.kind != "calls"}
+    assert (got[None, 0, "a"].status, got[None, 0, "a"].level) == ("linked", 1) and '"\\ud800"' in got[None, 0, "a"].json
+    assert got[None, 0, "b"].status == "invalid" and json.loads(got[None, 0, "b"].json)["violations"] == ["$: deeper than 100"]
+    assert got[None, 0, "c"].status == "invalid" and json.loads(got[None, 0, "c"].json)["violations"] == ["$: not JSON"]
+    assert got[1, 0, None].status == got[1, 1, None].status == "plain" and len(got[1, 2, "d"].json) > 300000
+
+
 def test_lookup_calls_hold_whole_texts(spark):
     texts = [f"w{i} and some more words of turn {i}" for i in range(100)]
     made = queries.tool_conversations(spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
@@ -180,16 +196,37 @@ def test_secrets(spark):
         text = ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in want)
         assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for _, k, _ in want) for x in range(3)]
-    assert got[5].spans == "random:4:68"
     assert secrets.scan(df.limit(0)).count() == 0
 
 
 def test_secrets_pass_lines_of_equal_signs(spark):
-    key = "Zk3vQ9xT1bWm7RpL0sYc8HdN4gFa"
-    rows = [(1, "=" * 30), (2, "head\na" + "=" * 25 + "\ntail"), (3, "ab" + "=" * 20), (4, f"x {key} y")]
+    rows = [(1, "=" * 30), (2, "head\na" + "=" * 25 + "\ntail"), (3, "ab" + "=" * 20), (4, "AAAA" * 8)]
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i].spans for i in (1, 2)] == ["", ""]
-    assert len(got) == 4 and got[4].spans == f"random:2:{2 + len(key)}"
+    assert [got[i].spans for i in (1, 2, 3, 4)] == ["", "", "", ""]
+
+
+def test_secrets_reports_keys_and_not_glued_words(spark):
+    """Planted keys of four encodings among the long words of whole documents: recall, and false discoveries."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    r = random.Random(1)
+    keys = []
+    for i in range(60):
+        raw = r.randbytes(r.choice([20, 24, 32, 48]))
+        keys.append([base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), base64.b32encode(raw).decode(), raw.hex().upper()][i % 4])
+    glued = ["".join(r.choice(["erlich", "tion", "heit", "ment", "ing", "keit"]) for _ in range(5)) for _ in range(60)]
+    planted = spark.createDataFrame([(10**9 + i, f"see {k} or {g} here") for i, (k, g) in enumerate(zip(keys, glued))], "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.scan(docs.unionByName(planted)).where("n_random > 0").collect()}
+    true = sum(f"random:4:{4 + len(k)}" in got[10**9 + i].spans for i, k in enumerate(keys) if 10**9 + i in got)
+    reported = sum(x.n_random for x in got.values())
+    assert true >= 54 and reported - true <= 0.05 * reported
+
+
+def test_ordinary_text_gives_windows(spark):
+    rows = [(i, None if i == 0 else "" if i == 1 else f"plain words of some length, number {i}. " * 30) for i in range(40)]
+    df = secrets.windows(spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit(""))))
+    got = {x.doc_id: x.null for x in df.collect()}
+    assert got[0] == got[1] == [] and sum(map(len, got.values())) > 40
+    assert all(0 <= c < len(secrets.ENCODINGS) * len(secrets.LENGTHS) * secrets.BINS for x in got.values() for c in x)
 
 
 def test_media_round_trip(spark, docs):
