@@ -4,7 +4,8 @@ Ordered greedy rules run over the blocks of one document in an Arrow-fed Python
 fold; a document's blocks are bounded by its text. Offsets are code points.
 
 Defined cases: null and empty texts give no sentences; documents without blocks give no chunks; a
-response that can't be read gives null.
+response that can't be read, or nests deeper than ``DEPTH``, gives null; halves of surrogate pairs are
+written as escapes.
 """
 
 from __future__ import annotations
@@ -106,15 +107,32 @@ def paired(blocks: DataFrame, tokens: Column, limit: int = 400) -> DataFrame:
 STRING = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)', re.S)
 
 
+DEPTH = 100  # levels of arrays and objects in a response
+
+
+def nesting(content: str) -> int:
+    """How deep brackets nest outside of strings."""
+    level = most = 0
+    for c in re.findall(r"[\[\]{}]", STRING.sub("", content)):
+        level += 1 if c in "[{" else -1
+        most = max(most, level)
+    return most
+
+
+def as_json(value) -> str:
+    """Sorted keys; half a surrogate pair as its escape, since it can't be encoded."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False, sort_keys=True))
+
+
 def read_response(content: str | None):
     """The value of a model's JSON; control characters in strings turn to spaces, a cut array keeps its whole objects."""
-    if content is None:
+    if content is None or nesting(content) > DEPTH:
         return None
     clean = STRING.sub(lambda m: re.sub(r"(\\.)|[\x00-\x1f]", lambda c: c.group(1) or " ", m.group(), flags=re.S), content)
     for candidate in (content, clean):
         try:
             return json.loads(candidate)
-        except json.JSONDecodeError:
+        except ValueError:
             continue
     depth, last = 0, None
     for m in re.finditer(r"[\[\]{}]", STRING.sub(lambda s: " " * len(s.group()), clean)):
@@ -125,7 +143,7 @@ def read_response(content: str | None):
         return None
     try:
         return json.loads(clean[:last] + "]")
-    except json.JSONDecodeError:
+    except ValueError:
         return None
 
 
@@ -136,6 +154,6 @@ def responses(rows: DataFrame, content: str = "content") -> DataFrame:
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = [read_response(t) for t in texts]
-            yield pd.Series([None if v is None else json.dumps(v, ensure_ascii=False, sort_keys=True) for v in values], dtype=object)
+            yield pd.Series([None if v is None else as_json(v) for v in values], dtype=object)
 
     return rows.withColumn("items", read(F.col(content)))
