@@ -1,18 +1,24 @@
 """Line deduplication with DataFrame functions only: exact lines, and a segment-partition edit join.
 
-A line within ``radius`` edits of another keeps, in one of its ``radius + 1`` segments, characters
-that the other holds nearly at the same place. Every line therefore indexes its segments and
-probes, by length, the few places where a segment of a line of that length can lie. Lines that meet
-and whose letter counts allow it are verified by a banded bit-parallel automaton: one word for each number of edits, one bit for
-each diagonal of the band. Lines that are linked, directly or through others, are one class, and
-only the first line of a class (by id, text and line number) stays.
-
-The edits allowed grow with the line: ``chars_per_edit`` characters an edit, ``radius`` at most, so
+Two lines within r edits share one of r + 1 segments of the shorter, nearly at the same place. Every
+line therefore indexes its segments and probes, by length, the few places where a segment of a line of
+that length can lie. First only keys are counted; keys that a single line has are dropped, and just the
+lines behind the others go on. Pairs of a key are made in bounded groups. A key with many lines is refined
+instead: the shared segment is taken out of each line, then what all of its lines have in common before
+and behind, and what is left is cut into segments again; within r edits, it still shares one. A group
+that can't be refined is compared with one line of its own, and only lines that aren't near it with others.
+
+Lines that meet and whose letter counts allow it are verified by a banded bit-parallel automaton over the
+part between their common ends: one word for each number of edits, one bit for each diagonal of the band.
+Lines that are linked, directly or through others, are one class, and only the first line of a class (by
+id, text and line number) stays. 128 bits name a line.
+
+The edits allowed grow with the shorter line: ``chars_per_edit`` characters an edit, ``radius`` at most, so
 short lines only match exactly. Exact copies are combined before any shuffle.
 
 Defined cases: a null or empty text has no lines and is kept as an empty one; blank lines are never
 removed; rows with equal id and text are one document repeated and are treated alike; null ids sort
-first; no rows give no rows; columns other than id and text are not read.
+first; no rows give no rows; columns other than id, text and those to carry are not read.
 """
 
 from __future__ import annotations
@@ -26,27 +32,48 @@ from redquill.llm.runtime import cut
 BROADCAST_ROWS = 500_000
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """(first place from 1, length) of segment i: even, the longer ones last."""
-    size = F.floor(length / parts)
-    short = parts - length % parts  # so many segments have the lesser length
-    return i * size + F.greatest(F.lit(i) - short, F.lit(0)) + 1, size + (F.lit(i) >= short).cast("long")
+HOT = 512  # lines of a key whose pairs are made at once
+LEVELS = 6
 
 
-def segment_keys(line: Column, n: Column, radius: int) -> tuple[Column, Column]:
-    """Arrays of hashes: of the line's own segments, and of the places that it probes."""
-    parts = radius + 1
-    key = lambda length, i, at, size: F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, at.cast("int"), size.cast("int")))
-    own = [key(n, i, *_segment(n, i, parts)) for i in range(parts)]
-    probes = []
-    for less in range(radius + 1):
-        length = n - less
-        for i in range(parts):
-            at, size = _segment(length, i, parts)
-            for shift in range(max(-i, less - (radius - i)), min(i, less + (radius - i)) + 1):
-                inside = (at + shift >= 1) & (at + shift + size - 1 <= n)
-                probes.append(F.when(inside, key(length, i, at + shift, size)))
-    return F.array(*own), F.array(*probes)
+def _specs(radius: int) -> list[tuple[int, int, int, int, bool]]:
+    """(edits, how much shorter the indexed line is, segment, shift, own) of every key that a line has."""
+    out = []
+    for r in range(1, radius + 1):
+        for less in range(r + 1):
+            for i in range(r + 1):
+                for shift in range(max(-i, less - (r - i)), min(i, less + (r - i)) + 1):
+                    out.append((r, less, i, shift, less == 0 and shift == 0))
+    return out
+
+
+def segment_keys(lines: DataFrame, radius: int, edits, *carry: str) -> DataFrame:
+    """key, own (whether it is of a segment of the line's own), at (from 1), size and ``carry``, a row for each key of a line.
+
+    ``lines`` has line, n (its length) and tag; ``edits`` gives the edits allowed to a line from its length.
+    A segment of a line of length l is found at its place or a little off; even segments, the longer ones last.
+    """
+    specs = F.array(*[F.struct(*(F.lit(x).alias(c) for c, x in zip(("r", "less", "i", "shift", "own"), spec))) for spec in _specs(radius)])
+    rows = lines.select("line", "n", "tag", *carry, F.explode(specs).alias("s"))
+    r, i, length = F.col("s.r"), F.col("s.i"), F.col("n") - F.col("s.less")
+    rows = rows.where((length > r) & (edits(length) == r))
+    size, short = F.floor(length / (r + 1)), (r + 1) - length % (r + 1)  # so many segments have the lesser length
+    rows = rows.select("*", (i * size + F.greatest(i - short, F.lit(0)) + 1 + F.col("s.shift")).cast("int").alias("at"), (size + (i >= short).cast("int")).cast("int").alias("size"))
+    rows = rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+    key = F.xxhash64("tag", length.cast("int"), r, i, F.substring("line", F.col("at"), F.col("size")))
+    return rows.select(key.alias("key"), F.col("s.own").alias("own"), "at", "size", *carry)
+
+
+def common_start(x: Column, y: Column) -> Column:
+    """How many first characters are equal: steps of falling powers of two (lines of up to 2 ** 24 characters)."""
+
+    def start(s: Column) -> Column:
+        same = lambda at, step: F.substring(s["x"], at + 1, step) == F.substring(s["y"], at + 1, step)
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in reversed(range(24))]), lambda k: k <= s["most"])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= s["most"]) & same(at, step), at + step).otherwise(at))
+
+    # Bound to a variable, so that neither side is worked out again at every step.
+    return F.transform(F.array(F.struct(x.alias("x"), y.alias("y"), F.least(F.length(x), F.length(y)).alias("most"))), start)[0]
 
 
 LETTERS = "etaoinsrhldu"  # frequent in the Latin script; others make the filter weaker, never wrong
@@ -74,28 +101,36 @@ def letters_apart(a: Column, b: Column) -> Column:
 def within(a: Column, b: Column, allowed: Column, radius: int) -> Column:
     """Whether two arrays of characters are at most ``allowed`` (``radius`` at most) edits apart.
 
-    ``state[e]`` has bit d set if, e edits spent at most, the first j characters of b match the
-    first j + d - radius of a.
+    One number holds a lane of 2 * radius + 1 bits for each number e of edits: bit d of lane e is set
+    if, e edits spent at most, the first j characters of b match the first j + d - radius of a. Once the last
+    lane is empty no later character is looked at.
     """
     width = 2 * radius + 1
-    full = (1 << width) - 1
+    lanes = lambda bits, first: sum(bits << (width * e) for e in range(first, radius + 1))
+    full, every = (1 << width) - 1, lanes(1, 0)
 
     def step(state: Column, j: Column) -> Column:
         c = F.get(b, j)
-        equal = F.lit(0)
+        equal = F.lit(0).cast("long")
         for d in range(width):
-            equal = equal.bitwiseOR(F.when(F.get(a, F.when(j + (d - radius) >= 0, j + (d - radius))) == c, F.lit(1 << d)).otherwise(F.lit(0)))
-        out = [state[0].bitwiseAND(equal)]
-        for e in range(1, radius + 1):
-            before = state[e - 1]
-            # a match; another character instead; one more in b; one more in a
-            out.append(state[e].bitwiseAND(equal).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(out[e - 1], 1).bitwiseAND(F.lit(full))))
-        return F.array(*out)
+            at = j + (d - radius)
+            equal = equal + F.when((at >= 0) & (F.get(a, at) == c), 1 << d).otherwise(0)
+        # a match; another character instead; one more in b
+        stayed = state.bitwiseAND(equal * every)
+        spent = F.shiftleft(state, width).bitwiseAND(F.lit(lanes(full, 1))).bitwiseOR(F.shiftleft(state, width - 1).bitwiseAND(F.lit(lanes(full >> 1, 1))))
+
+        def more_in_a(x: Column) -> Column:
+            out = x
+            for k in range(1, radius + 1):
+                out = out.bitwiseOR(F.shiftleft(x, k * (width + 1)).bitwiseAND(F.lit(lanes(full >> k << k, k))))
+            return out
 
-    start = F.array(*[F.lit(sum(1 << (radius + d) for d in range(e + 1))) for e in range(radius + 1)])
-    end = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step)
-    place = F.size(a) - F.size(b) + radius
-    return (F.abs(F.size(a) - F.size(b)) <= allowed) & (F.get(end, allowed).bitwiseAND(F.call_function("shiftleft", F.lit(1), place)) != 0)
+        return F.when(state.bitwiseAND(F.lit(full << (width * radius))) == 0, state).otherwise(F.transform(F.array(stayed.bitwiseOR(spent)), more_in_a)[0])
+
+    start = sum(1 << (width * e + radius + d) for e in range(radius + 1) for d in range(e + 1))
+    end = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.lit(start).cast("long"), step)
+    place = F.size(a) - F.size(b) + radius + allowed * width
+    return (F.abs(F.size(a) - F.size(b)) <= allowed) & (F.call_function("shiftright", end, place) % 2 == 1)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,44 +140,101 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("k", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(5), "line")).withColumn("n", F.length("line"))
 
 
-def near_edges(lines: DataFrame, radius: int, chars_per_edit: int) -> DataFrame:
-    """a, b: hashes of different lines that are within their allowed edits."""
-    long = lines.where(F.col("n") >= chars_per_edit)
-    own, probes = segment_keys(F.col("line"), F.col("n"), radius)
-    distinct = long.select("k", letter_counts(F.col("line")).alias("letters"), F.array_compact(own).alias("own"), F.array_compact(probes).alias("probes"))
-    distinct = cut(distinct.groupBy("k").agg(*(F.any_value(c).alias(c) for c in ("letters", "own", "probes"))))
-    index = distinct.select(F.col("k").alias("a"), F.col("letters").alias("x"), F.explode("own").alias("key"))
-    probe = distinct.select(F.col("k").alias("b"), F.col("letters").alias("y"), F.explode("probes").alias("key"))
-    meet = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (letters_apart(F.col("x"), F.col("y")) <= 2 * radius))
-    pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = long.join(wanted, "k", "left_semi").groupBy("k").agg(F.min("line").alias("line"))
-    texts = cut(texts)
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("y")), "b")
-    allowed = F.least(F.lit(radius), F.floor(F.least(F.length("x"), F.length("y")) / chars_per_edit).cast("int"))
-    # The characters are bound to a variable, so that they are split once a pair.
-    split = F.array(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y"), allowed.alias("allowed")))
-    return both.where(F.exists(split, lambda p: within(p["x"], p["y"], p["allowed"], radius))).select("a", "b")
+def _apart(x: str, y: str, radius: int) -> Column:
+    """Whether lengths and letters of two lines rule out ``radius`` edits."""
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) > radius) | (letters_apart(F.col(f"{x}.letters"), F.col(f"{y}.letters")) > 2 * radius)
 
 
-def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 1, chars_per_edit: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, radius: int, chars_per_edit: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines are within their allowed edits."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+    allowed = F.least(F.lit(radius), F.floor(F.least(F.length("x"), F.length("y")) / chars_per_edit).cast("int"))
+    # Each step binds what the next one uses more than once.
+    steps = F.array(F.struct("x", "y", allowed.alias("allowed"), common_start(F.col("x"), F.col("y")).alias("p")))
+    tail = lambda c, p: F.substring(c, p + 1, F.length(c))
+    steps = F.transform(steps, lambda s: F.struct(tail(s["x"], s["p"]).alias("x"), tail(s["y"], s["p"]).alias("y"), s["allowed"].alias("allowed")))
+    steps = F.transform(steps, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["allowed"].alias("allowed"), common_start(F.reverse(s["x"]), F.reverse(s["y"])).alias("e")))
+    steps = F.transform(steps, lambda s: F.struct(F.left(s["x"], F.length(s["x"]) - s["e"]).alias("x"), F.left(s["y"], F.length(s["y"]) - s["e"]).alias("y"), s["allowed"].alias("allowed")))
+    steps = F.transform(steps, lambda s: F.struct(F.split(s["x"], "").alias("x"), F.split(s["y"], "").alias("y"), s["allowed"].alias("allowed"), F.least(F.length(s["x"]), F.length(s["y"])).alias("least"), F.greatest(F.length(s["x"]), F.length(s["y"])).alias("most")))
+    near = F.exists(steps, lambda s: F.when(s["least"] == 0, s["most"] <= s["allowed"]).when(s["most"] - s["least"] > s["allowed"], False).otherwise(within(s["x"], s["y"], s["allowed"], radius)))
+    return both.where(near).select("a", "b")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast up to ``BROADCAST_ROWS`` rows of some longs; more are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def near_edges(lines: DataFrame, radius: int, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between different lines that are within their allowed edits, and the nodes (node, k, k2) they speak of."""
+    long = lines.where(F.col("n") >= chars_per_edit).withColumn("tag", F.lit(0).cast("long"))
+    edits = lambda n: F.least(F.lit(radius), F.floor(n / chars_per_edit)).cast("int")
+    counts = segment_keys(long, radius, edits, "k").groupBy("key").agg(F.max("own").alias("own"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    open_keys = cut(counts.where("own and lo != hi").select("key"))
+    members = segment_keys(long, radius, edits, "k", "k2", "n").join(_few(open_keys), "key", "left_semi")
+    members = cut(members.groupBy("key", "k", "k2", "n", "at", "size").agg(F.max("own").alias("own")))
+    wanted = cut(members.select("k", "k2").distinct())
+    texts = long.join(_few(wanted), ["k", "k2"], "left_semi").groupBy("k", "k2").agg(F.min("line").alias("line"))
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()).withColumn("letters", letter_counts(F.col("line"))))
+    state = cut(members.join(texts.select("k", "k2", "node", "letters"), ["k", "k2"]).select("key", "node", "letters", "n", "own", "at", "size", edits(F.col("n")).alias("r")))
+    pairs, links = [], []
+    for level in range(LEVELS + 1):
+        groups = state.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 and own")
+        cold, hot = groups.where(F.col("c") <= HOT).select("key"), cut(groups.where(F.col("c") > HOT).select("key"))
+        some = state.join(cold, "key", "left_semi").select("key", "node", "letters", "n", "own").distinct()
+        met = some.where("own").alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & ~_apart("x", "y", radius))
+        pairs.append(cut(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
+        if hot.isEmpty():
+            break
+        inside = state.join(hot, "key", "left_semi")
+        if not level:  # what is left of a line in a group: at first all of it
+            inside = inside.join(texts.select("node", F.col("line").alias("rest")), "node")
+        inside = cut(inside.select("key", "node", "letters", "n", "r", F.concat(F.left("rest", F.col("at") - 1), F.substring("rest", F.col("at") + F.col("size"), F.length("rest"))).alias("rest")))
+        firsts = inside.groupBy("key").agg(F.min("rest").alias("first"))
+        ends = inside.join(firsts, "key").groupBy("key").agg(F.min(common_start(F.col("rest"), F.col("first"))).alias("p"), F.min(common_start(F.reverse("rest"), F.reverse("first"))).alias("e"), F.min(F.length("rest")).alias("least"), F.max(F.length("rest")).alias("most"), F.min("r").alias("edits"))
+        ends = ends.select("key", "p", F.least(F.col("e"), F.col("least") - F.col("p")).alias("e"), "most", F.col("edits").alias("r"))
+        inside = inside.drop("r").join(ends, "key").withColumn("bare", F.length("rest") - F.col("p") - F.col("e"))
+        inside = cut(inside.withColumn("done", (F.col("most") - F.col("p") - F.col("e") < 2 * (F.col("r") + 1)) | F.lit(level == LEVELS)).withColumn("rest", F.substring("rest", F.col("p") + 1, F.col("bare"))))
+        # Groups that end here: everything against one line, and what isn't near it against all.
+        ended = inside.where("done").select("key", "node", "letters", "n")
+        to_one = ended.join(ended.groupBy("key").agg(F.min("node").alias("one")), "key").where("node != one")
+        close = cut(verified(to_one.select(F.col("one").alias("a"), F.col("node").alias("b")).distinct(), texts, radius, chars_per_edit))
+        links.append(close)
+        far = to_one.join(close.select(F.col("a").alias("one"), F.col("b").alias("node")), ["one", "node"], "left_anti").select("key", "node", "letters", "n")
+        met = far.alias("x").join(ended.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & ~_apart("x", "y", radius))
+        pairs.append(cut(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
+        # The others are cut into segments again, within their group.
+        again = inside.where("not done").select(F.col("rest").alias("line"), F.col("bare").alias("n"), F.col("key").alias("tag"), "node", "letters", F.col("n").alias("whole"), "r", F.col("rest").alias("kept"))
+        cuts = segment_keys(again, radius, lambda _: F.col("r"), "node", "letters", "whole", "r", "kept")
+        same = ("key", "node", "letters", "whole", "at", "size", "r", "kept")
+        state = cut(cuts.groupBy(*same).agg(F.max("own").alias("own")).withColumnsRenamed({"whole": "n", "kept": "rest"}))
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    edges = verified(every.distinct(), texts, radius, chars_per_edit)
+    for more in links:
+        edges = edges.unionByName(more)
+    return edges, texts.select("node", "k", "k2")
+
+
+def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, chars_per_edit: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near, kept_text, and the columns to ``carry``, for every row.
 
     n_lines counts lines that aren't blank, n_near those removed for a line that isn't equal.
     """
+    if not 1 <= radius <= 4:
+        raise ValueError("the radius must be 1 to 4")
     lines = _lines(docs, id_col, text_col)
     place = F.struct("doc_id", "t", "no")
     exact = cut(lines.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c")))
-    edges = near_edges(lines, radius, chars_per_edit)
+    edges, nodes = near_edges(lines, radius, chars_per_edit)
     moved = cut(components(edges))
     # First place of every class that has more than one line.
-    named = exact.join(moved.withColumnRenamed("node", "k"), "k", "left").withColumn("class", F.coalesce("root", "k"))
-    roots = moved.select(F.col("root").alias("class")).distinct()
-    heads = named.join(roots, "class", "left_semi").groupBy("class").agg(F.min("first").alias("head"))
-    repeated = named.join(heads, "class", "left").where("c > 1 or head != first").select("k", "k2", "first", F.coalesce("head", "first").alias("head"))
+    roots = moved.select(F.col("root").alias("node")).distinct()
+    classes = moved.unionByName(roots.select("node", F.col("node").alias("root"))).join(nodes, "node").join(exact, ["k", "k2"])
+    heads = classes.join(classes.groupBy("root").agg(F.min("first").alias("head")), "root").select("k", "k2", "head")
+    named = exact.join(heads, ["k", "k2"], "left")
+    repeated = named.where("c > 1 or head != first").select("k", "k2", "first", F.coalesce("head", "first").alias("head"))
     gone = lines.select("doc_id", "t", "no", "k", "k2").join(repeated, ["k", "k2"]).where(~place.eqNullSafe(F.col("head")))
     # Rows with equal id and text repeat each other's lines: a line is listed once.
     listed = gone.groupBy("doc_id", "t").agg(F.collect_set(F.struct("no", (F.col("first.doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("first.t") == F.col("head.t")) & (F.col("first.no") == F.col("head.no"))).alias("exact"))).alias("gone"))

@@ -6,7 +6,7 @@ import json
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -313,6 +313,45 @@ def test_line_dedup(spark, radius):
     assert linededup.remove_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_refines_keys_that_many_lines_share(spark):
+    """Lines with one long beginning, end or middle, some of them near: refined groups find what all pairs find."""
+    r = random.Random(6)
+    lines = []
+    for form in ("2024-01-01 00:00:00 INFO server.request handled id={}", "{} is the number of the record that was kept", "user {} opened the page of the shop and bought {}", "{}"):
+        for _ in range(160):
+            a, b = ("".join(r.choices("0123456789abcdef", k=16)) for _ in range(2))
+            lines.append(form.format(a, b))
+            if r.random() < 0.3:
+                near = list(lines[-1])
+                for _ in range(r.randrange(1, 4)):
+                    near[r.randrange(len(near))] = r.choice("xyz")
+                lines.append("".join(near[: len(near) - r.randrange(2)]))
+    lines += [f"the same words before a very short number {i:03d}" for i in range(120)]
+    df = spark.createDataFrame([(i, x, "t", 1) for i, x in enumerate(lines)], "doc_id long, text string, k string, n int")
+    got = {x.doc_id: x.n_removed for x in linededup.remove_lines(df, radius=2, chars_per_edit=16).collect()}
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            allowed = min(2, min(len(x), len(lines[j])) // 16)
+            if x == lines[j] or (abs(len(x) - len(lines[j])) <= allowed and sum((Counter(x) - Counter(lines[j])).values()) <= allowed and _distance(x, lines[j]) <= allowed):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {i: int(find(i) != i) for i in range(len(lines))} == got
+
+
+def test_line_dedup_with_null_ids_repeated_rows_and_long_lines(spark):
+    long = "".join(random.Random(2).choices("abcdefgh ", k=60000))
+    rows = [(None, "a line that is here twice over"), (5, "a line that is here twice over"), (5, "a line that is here twice over"), (6, "x" + long + "\nnew"), (7, long + "\nnew"), (8, long[:-1] + "zz"), (9, None)]
+    got = [(r.doc_id, r.n_removed, r.n_near) for r in linededup.remove_lines(spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, line string")).collect()]
+    assert sorted(got, key=str) == [(5, 1, 0), (5, 1, 0), (6, 0, 0), (7, 2, 1), (8, 1, 1), (9, 0, 0), (None, 0, 0)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
