@@ -101,7 +101,7 @@ def _links(code: ProductCode, f: int, node: np.ndarray, copies: np.ndarray, x: n
     return p[i], q[j]
 
 
-def linked(classes: DataFrame, dims: int, n: int, cosine: float, kind: str, block: int = 64) -> DataFrame:
+def linked(classes: DataFrame, dims: int, n: int, cosine: float, kind: str, block: int = 512) -> DataFrame:
     """Of classes (node, label, copies, vector as bytes of ``kind``): rows (a, b, null) for edges, (node, null, links) for counts."""
     code = ProductCode(dims, n)
     label = classes.schema["label"].dataType.simpleString()

@@ -6,13 +6,13 @@ The file has two DC scans and four kinds of AC scans: two spectral bands without
 and a refinement of all bands.
 
 The decoder accumulates spectral-selection and successive-approximation scans of any such JPEG into
-coefficient arrays. Where all symbols of an AC scan have one length, or a refinement finds every
+coefficient arrays, restart intervals included. Where all symbols of an AC scan have one length, or a refinement finds every
 coefficient already set, it takes the bits in bulk, after checking that this is so; everything else
 is decoded symbol by symbol. Blocks are inverse-transformed as one matrix product, chroma is
 upsampled by repetition, and the result is an 8-bit RGB tensor of full resolution.
 
 Defined cases: null and empty texts are one unit of padding; equal payloads give equal files and
-features; texts may be as long as an image of 65,520 x 65,520 allows; no rows give no rows; columns
+features; files that can't be read give an error, not a failed job; texts may be as long as an image of 65,520 x 65,520 allows; no rows give no rows; columns
 other than id and text are not read.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -113,6 +114,9 @@ def encode(payload: bytes) -> bytes:
     return b"".join([*out, b"\xff\xd9"])
 
 
+RESTART = re.compile(b"\xff[\xd0-\xd7]")
+
+
 class _Bits:
     """A reader over the bits of a scan; ones follow its end."""
 
@@ -162,9 +166,8 @@ class Decoder:
                 self.comment = body
             elif marker == 0xDB:
                 while body:
-                    if body[0] >> 4:
-                        raise ValueError("16-bit quantisation")
-                    self.quant[body[0] & 15], body = np.frombuffer(body[1:65], np.uint8).astype(np.int32), body[65:]
+                    wide = 1 + (body[0] >> 4)
+                    self.quant[body[0] & 15], body = np.frombuffer(body[1 : 1 + 64 * wide], np.uint8 if wide == 1 else ">u2").astype(np.int32), body[1 + 64 * wide :]
             elif marker == 0xC4:
                 while body:
                     count, key = body[1:17], body[0]
@@ -177,8 +180,6 @@ class Decoder:
                     self.tables[key], body = codes, body[k:]
             elif marker == 0xDD:
                 self.interval = int.from_bytes(body, "big")
-                if self.interval:
-                    raise ValueError("restart intervals aren't read")
             elif marker == 0xC2:
                 self._frame(body)
             elif marker == 0xDA:
@@ -188,7 +189,7 @@ class Decoder:
                     if data[end + 1] not in (0, *range(0xD0, 0xD8)):
                         break
                     end += 2
-                self._read(body, data[at:end].replace(b"\xff\x00", b"\xff"))
+                self._read(body, [x.replace(b"\xff\x00", b"\xff") for x in (RESTART.split(data[at:end]) if self.interval else [data[at:end]])])
                 at = end
             elif 0xC0 <= marker <= 0xCF:
                 raise ValueError("only progressive Huffman JPEGs are read")
@@ -209,49 +210,56 @@ class Decoder:
         rows, cols = part["own"]
         return (np.arange(rows)[:, None] * part["cols"] + np.arange(cols)).reshape(-1)
 
-    def _read(self, header: bytes, data: bytes) -> None:
+    def _read(self, header: bytes, stretches: list[bytes]) -> None:
+        """A scan, in stretches between restart markers (one, where there are none); each starts anew."""
         n = header[0]
         ids, tables = [header[1 + 2 * i] for i in range(n)], [header[2 + 2 * i] for i in range(n)]
         first, last, high, low = header[1 + 2 * n], header[2 + 2 * n], header[3 + 2 * n] >> 4, header[3 + 2 * n] & 15
-        bits = _Bits(data)
         if first == 0:
-            self._dc(bits, ids, tables, high, low)
+            order = self._mcu_order(ids)
+            step = self.interval or len(order[0])
+            for k, data in enumerate(stretches):
+                self._dc(_Bits(data), ids, tables, [o[k * step : (k + 1) * step] for o in order], high, low)
             return
         part = self.parts[ids[0]]
         blocks, codes = self._order(part), self.tables[0x10 | tables[0] & 15]
+        step = self.interval or len(blocks)
         fast = self._ac_refined_in_bulk if high else self._ac_in_bulk
-        if not fast(bits, part["coef"], blocks, codes, first, last, low):
-            (self._ac_refined if high else self._ac)(_Bits(data), part["coef"], blocks, codes, first, last, low)
+        for k, data in enumerate(stretches):
+            some = blocks[k * step : (k + 1) * step]
+            if not fast(_Bits(data), part["coef"], some, codes, first, last, low):
+                (self._ac_refined if high else self._ac)(_Bits(data), part["coef"], some, codes, first, last, low)
 
-    def _dc(self, bits: _Bits, ids: list[int], tables: list[int], high: int, low: int) -> None:
+    def _mcu_order(self, ids: list[int]) -> list[np.ndarray]:
+        """For each component of a DC scan, the blocks of each unit in turn: (units, blocks)."""
         if len(ids) == 1:
-            places = [(ids[0], tables[0], b) for b in self._order(self.parts[ids[0]]).tolist()]
-        else:
-            places, offsets = None, []
-            for i, t in zip(ids, tables):
-                p = self.parts[i]
-                grid = np.arange(p["rows"] * p["cols"]).reshape(self.mcus[0], p["v"], self.mcus[1], p["h"]).transpose(0, 2, 1, 3)
-                offsets.append(grid.reshape(self.mcus[0] * self.mcus[1], -1))
-            total = sum(o.size for o in offsets)
-            if high:
-                got = bits.array[:total].reshape(len(offsets[0]), -1).astype(np.int32)
-                col = 0
-                for i, o in zip(ids, offsets):
-                    self.parts[i]["coef"][o.reshape(-1), 0] |= got[:, col : col + o.shape[1]].reshape(-1) << low
-                    col += o.shape[1]
-                return
-            zero = [self.tables[t >> 4].get((1, 0)) == 0 for t in tables]
-            if all(zero) and bits.size >= total and not bits.array[:total].any():
-                return  # every difference is the one-bit code of zero
-            places = [(i, t, b) for m in range(len(offsets[0])) for i, t, o in zip(ids, tables, offsets) for b in o[m].tolist()]
+            return [self._order(self.parts[ids[0]])[:, None]]
+        out = []
+        for i in ids:
+            p = self.parts[i]
+            grid = np.arange(p["rows"] * p["cols"]).reshape(self.mcus[0], p["v"], self.mcus[1], p["h"]).transpose(0, 2, 1, 3)
+            out.append(grid.reshape(self.mcus[0] * self.mcus[1], -1))
+        return out
+
+    def _dc(self, bits: _Bits, ids: list[int], tables: list[int], order: list[np.ndarray], high: int, low: int) -> None:
+        total = sum(o.size for o in order)
+        if high:
+            if bits.size < total:
+                raise ValueError("a scan ends early")
+            got, col = bits.array[:total].reshape(len(order[0]), -1).astype(np.int32), 0
+            for i, o in zip(ids, order):
+                self.parts[i]["coef"][o.reshape(-1), 0] |= got[:, col : col + o.shape[1]].reshape(-1) << low
+                col += o.shape[1]
+            return
+        if all(self.tables[t >> 4].get((1, 0)) == 0 for t in tables) and bits.size >= total and not bits.array[:total].any():
+            return  # every difference is the one-bit code of zero
         before = dict.fromkeys(ids, 0)
-        for i, t, b in places:
-            if high:
-                self.parts[i]["coef"][b, 0] |= bits.take(1) << low
-            else:
-                size = bits.symbol(self.tables[t >> 4])
-                before[i] += _extend(bits.take(size), size)
-                self.parts[i]["coef"][b, 0] = before[i] << low
+        for m in range(len(order[0])):
+            for i, t, o in zip(ids, tables, order):
+                for b in o[m].tolist():
+                    size = bits.symbol(self.tables[t >> 4])
+                    before[i] += _extend(bits.take(size), size)
+                    self.parts[i]["coef"][b, 0] = before[i] << low
 
     @staticmethod
     def _ac_in_bulk(bits: _Bits, coef: np.ndarray, blocks: np.ndarray, codes: dict, first: int, last: int, low: int) -> bool:
@@ -383,16 +391,46 @@ def feature_of(rgb: np.ndarray) -> str:
     return f"{rgb.shape[0]}x{rgb.shape[1]};" + ",".join(f"{m:.4f}" for m in means) + ";" + ",".join(f"{d:.4f}" for d in deviations) + f";{int((flat[:, 0] > 127).sum())}"
 
 
+def decoded(media: bytes | None) -> tuple[int | None, int | None, bytes | None, str | None]:
+    """(height, width, rgb, error) of a file; one that can't be read has an error and nothing else."""
+    if media is None:
+        return None, None, None, "no file"
+    try:
+        rgb = Decoder(media).rgb()
+    except (ValueError, KeyError, IndexError, AttributeError, OverflowError) as e:  # whatever a broken file leads to
+        return None, None, None, f"{type(e).__name__}: {e}"
+    return rgb.shape[0], rgb.shape[1], rgb.tobytes(), None
+
+
+def decode_media(files: DataFrame, *, media_col: str = "media") -> DataFrame:
+    """``files`` with height, width, rgb (8 bits, row by row) and error of each file; these names must be free."""
+    clash = {"height", "width", "rgb", "error"} & set(files.columns)
+    if clash:
+        raise ValueError(f"columns in the way: {sorted(clash)}")
+    bounded_batches(files.sparkSession, 64)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", height int, width int, rgb binary, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                one = b.slice(at, 1)
+                values = decoded(one.column(one.schema.names.index(media_col))[0].as_py())
+                new = [pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*one.columns, *new], names=[*one.schema.names, "height", "width", "rgb", "error"])
+
+    return files.mapInArrow(run, schema)
+
+
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tensors: bool = True) -> DataFrame:
     """doc_id, n_bytes, payload, media (the JPEG), height, width, rgb, feature: stored and read back.
 
-    Without ``tensors`` the three large columns are given as their digests: payload_bytes,
-    payload_sha256, tail_crc32, media_bytes, media_sha256.
+    Without ``tensors`` the three large columns, the RGB tensor among them, are given as their digests: payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256, height, width, rgb_sha256.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     large = "payload binary, media binary, height int, width int, rgb binary"
-    digests = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    digests = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -407,8 +445,8 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     if tensors:
                         rows.append((n, back, media, rgb.shape[0], rgb.shape[1], rgb.tobytes(), feature_of(rgb)))
                     else:
-                        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(rgb)))
-                kinds = [pa.int64(), *((pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()) if tensors else (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())), pa.string()]
+                        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), rgb.shape[0], rgb.shape[1], hashlib.sha256(rgb).hexdigest(), feature_of(rgb)))
+                kinds = [pa.int64(), *((pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()) if tensors else (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())), pa.string()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 names = ["n_bytes", *(x.split()[0] for x in (large if tensors else digests).split(", ")), "feature"]
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", *names])

@@ -21,8 +21,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    trained = toxicity.train(docs, labels)
-    scored = toxicity.score(docs, trained)
+    scored = toxicity.classified(docs, labels, keep_text=False)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
 
 

@@ -3,9 +3,9 @@
 Each text becomes a 64-bit fingerprint of its word shingles. Distinct fingerprints are bucketed
 by every choice of two out of ``radius + 2`` bit ranges (two fingerprints that differ in at most
 ``radius`` bits agree on at least two ranges), large buckets are split into blocks, and pairs of
-blocks are compared: the differences of many fingerprints stand as vertical bit planes, a
-carry-save counter of bitwise operations updates 64 distances a machine word, and words whose
-lanes have all passed the radius are abandoned.
+blocks are compared: a block's fingerprints are stored as vertical bit planes, a probe's bits turn
+planes into differences, a carry-save counter of bitwise operations updates 64 distances a machine
+word, and words whose lanes have all passed the radius are abandoned.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words
 than a shingle make one shingle of them all; equal rows share a fingerprint and thus a component;
@@ -63,46 +63,47 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def within(x: np.ndarray, y: np.ndarray, radius: int, step: int = 8) -> np.ndarray:
-    """Which lanes x[i], y[i] (unsigned 64-bit) differ in at most ``radius`` bits."""
-    n = len(x)
-    if not n:
-        return np.zeros(0, bool)
-    diff = np.zeros(-(-n // 64) * 64, np.uint64)
-    diff[:n] = x ^ y
-    diff[n:] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    # planes[k] holds bit k of 64 lanes a word
-    bits = np.unpackbits(diff.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
-    live = np.arange(planes.shape[1])
+def planes_of(fps: np.ndarray) -> np.ndarray:
+    """(64,) machine words of at most 64 fingerprints: word k holds bit k of each, a lane a fingerprint."""
+    lanes = np.zeros(64, np.uint64)
+    lanes[: len(fps)] = fps
+    bits = np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(64, 8), axis=1, bitorder="little")
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8").reshape(64)
+
+
+def near_lanes(planes: np.ndarray, probes: np.ndarray, lanes: np.ndarray, radius: int, step: int = 8) -> np.ndarray:
+    """For each probe the lanes, as bits, of its row of ``planes`` that differ from it in at most ``radius`` bits.
+
+    ``planes`` is (probes, 64), ``lanes`` has the bits of the lanes in use. A probe's bit k turns
+    plane k into differences; a carry-save counter of bitwise operations adds them to 64 distances at once;
+    words whose lanes have all passed the radius are abandoned.
+    """
+    out = np.zeros(len(probes), np.uint64)
+    live, past = np.arange(len(probes)), ~lanes
     width = radius.bit_length() + 1
     counter = [np.zeros(len(live), np.uint64) for _ in range(width)]
-    past = np.zeros(len(live), np.uint64)  # lanes over the radius
-    one = np.uint64(0xFFFFFFFFFFFFFFFF)
+    full, one = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1)
     for k in range(64):
-        carry = planes[k]
+        carry = planes[live, k] ^ ((probes[live] >> np.uint64(k) & one) * full)
         for j in range(width):
             counter[j], carry = counter[j] ^ carry, counter[j] & carry
-        past |= carry | counter[width - 1]  # 2 ** (width - 1) > radius
+        past = past | carry | counter[width - 1]  # 2 ** (width - 1) > radius
         if k % step == step - 1:
             # lanes that hold more than the radius, bit by bit from the top
-            more, same = np.zeros(len(live), np.uint64), np.full(len(live), one)
+            more, same = np.zeros(len(live), np.uint64), np.full(len(live), full)
             for j in reversed(range(width)):
                 if radius >> j & 1:
                     same = same & counter[j]
                 else:
-                    more = more | (same & counter[j])
-                    same = same & ~counter[j]
-            past |= more
-            keep = past != one
-            if not keep.any():
-                return np.zeros(n, bool)
-            if not keep.all():
-                live, past, planes = live[keep], past[keep], planes[:, keep]
-                counter = [c[keep] for c in counter]
-    out = np.zeros((len(diff) // 64, 64), bool)
-    out[live] = np.unpackbits((~past).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-    return out.reshape(-1)[:n]
+                    more, same = more | (same & counter[j]), same & ~counter[j]
+            past = past | more
+            keep = past != full
+            live, past = live[keep], past[keep]
+            counter = [c[keep] for c in counter]
+            if not len(live):
+                return out
+    out[live] = ~past
+    return out
 
 
 def _masks(radius: int) -> list[int]:
@@ -113,36 +114,54 @@ def _masks(radius: int) -> list[int]:
 
 
 def linked_fingerprints(fps: DataFrame, radius: int, block: int = 48) -> DataFrame:
-    """a, b: edges that join distinct fingerprints within ``radius`` as the full set of links does."""
+    """a, b: edges that join distinct fingerprints within ``radius`` as the full set of links does.
+
+    ``block``: about so many fingerprints stand in one block's planes, 64 a word at most.
+    """
     spread = fps.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius)])).alias("t", "key"))
     shared = spread.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1")
-    blocks = cut(
-        spread.join(shared, ["t", "key"])
-        .withColumn("chunks", F.ceil(F.col("c") / block))
-        .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-        .groupBy("t", "key", "chunk", "chunks")
-        .agg(F.collect_list("fp").alias("fps"))
+    dealt = (
+        spread.join(shared, ["t", "key"]).withColumn("chunks", F.ceil(F.col("c") / block)).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+        .groupBy("t", "key", "chunk").agg(F.collect_list("fp").alias("fps"))
     )
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in b.column("fps")]
+            planes = [b"".join(planes_of(x[at : at + 64]).tobytes() for at in range(0, len(x), 64)) for x in held]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("t", "key", "chunk", "fps")] + [pa.array(planes, pa.binary())], names=["t", "key", "chunk", "fps", "planes"])
+
+    # Every block's planes are made once and stored; pairs of blocks read them.
+    blocks = cut(dealt.mapInArrow(store, "t int, key long, chunk long, fps array<long>, planes binary"))
     # Each block meets the blocks of its bucket once; the key of a pair spreads a large bucket.
-    pairs = blocks.select("t", "key", F.col("chunk").alias("i"), F.col("fps").alias("left")).join(blocks.select("t", "key", F.col("chunk").alias("j"), F.col("fps").alias("right")), ["t", "key"]).where("i <= j and (i < j or size(left) > 1)").select("left", "right")
+    left, right = blocks.select("t", "key", F.col("chunk").alias("i"), F.col("fps").alias("probes")), blocks.select("t", "key", F.col("chunk").alias("j"), "fps", "planes")
+    pairs = left.join(right, ["t", "key"]).where("i <= j and (i < j or size(fps) > 1)").select("probes", "fps", "planes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us, vs, xs, ys, held = [], [], [], [], 0
-            rows = list(zip(b.column(0), b.column(1)))
-            for at, (left, right) in enumerate(rows):
-                p, q = (np.asarray(c.values.to_numpy(zero_copy_only=False), dtype=np.int64) for c in (left, right))
-                xs.append(np.repeat(p, len(q)))
-                ys.append(np.tile(q, len(p)))
-                held += len(xs[-1])
-                if held >= LANES or at == len(rows) - 1:
-                    x, y = np.concatenate(xs), np.concatenate(ys)
-                    hit = within(x.view(np.uint64), y.view(np.uint64), radius) & (x != y)
-                    if hit.any():
-                        u, v = local_roots(x[hit], y[hit])
-                        us.append(u)
-                        vs.append(v)
-                    xs, ys, held = [], [], 0
+            us, vs, waiting, held = [], [], [], 0
+            rows = list(zip(*(b.column(c) for c in ("probes", "fps", "planes"))))
+            for at, (probes, fps, planes) in enumerate(rows):
+                p, q = (np.asarray(c.values.to_numpy(zero_copy_only=False)).view(np.uint64) for c in (probes, fps))
+                words = np.frombuffer(planes.as_py(), "<u8").reshape(-1, 64)
+                for w in range(len(words)):
+                    lanes = q[64 * w : 64 * w + 64]
+                    padded = np.zeros(64, np.uint64)
+                    padded[: len(lanes)] = lanes
+                    waiting.append((p, padded, words[w], (1 << len(lanes)) - 1))
+                    held += len(p)
+                if held >= LANES // 64 or at == len(rows) - 1:
+                    each = np.array([len(x[0]) for x in waiting])
+                    owner = np.repeat(np.arange(len(waiting)), each)
+                    x, lanes = np.concatenate([w[0] for w in waiting]), np.stack([w[1] for w in waiting])
+                    near = near_lanes(np.stack([w[2] for w in waiting])[owner], x, np.array([w[3] for w in waiting], np.uint64)[owner], radius)
+                    row, lane = np.nonzero(np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                    u, v = x[row].view(np.int64), lanes[owner[row], lane].view(np.int64)
+                    if (u != v).any():
+                        a, c = local_roots(u[u != v], v[u != v])
+                        us.append(a)
+                        vs.append(c)
+                    waiting, held = [], 0
             none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or [none])), pa.array(np.concatenate(vs or [none]))], names=["a", "b"])
 

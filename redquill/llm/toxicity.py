@@ -2,14 +2,18 @@
 
 The embedding of a word is the sum of hashed embeddings, of the word and of its first letters; filters of several widths run over the whole text, each keeps its
 maximum, and a logistic layer makes a score. Training (Adam on minibatches) sees a bounded sample
-of labelled texts; a held-back part of it calibrates the scores, so that they are probabilities,
-and sets a threshold for each language. The language is never an input of a score. Scoring folds
+of labelled texts; a held-back part of it calibrates the scores, so that they are probabilities.
+Thresholds come from all labelled texts that the training didn't see: their scores are counted by
+language in histograms, and each language takes the cut with the best F1 of its own counts, to which the
+counts of all languages are added with the weight of ``SHRINK`` texts. A language with few texts so comes
+close to the common threshold, at any size. The language is never an input of a score. Scoring folds
 embeddings and filters into one lookup a word, kept by each worker for the words it has met.
 
 Defined cases: a null or empty text has no words and gets the score of no evidence; texts shorter
 than a filter are padded; equal texts get equal scores; labels that are null or of absent documents
 are not used; with no labels of one kind all scores are the share of toxic ones (0 without any);
-languages that are null or rare in the sample use the common threshold; no rows give no rows.
+a null language, or one without labelled texts, uses the common threshold; of rows that share an id, each
+counts with the label; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redquill.llm.runtime import bounded_batches
+from redquill.llm.runtime import bounded_batches, cut
 
 BUCKETS = 1 << 18
 PREFIXES = (5, 6, 7, 8)
 SLOTS = 1 + len(PREFIXES)
+CUTS = 200  # bins of scores, for thresholds
+SHRINK = 50.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -188,23 +194,21 @@ class TextCNN:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -30, 30)))
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, common: float = 0.3) -> float:
-    """The cut with the best F1, in the middle of the gap where it lies; ``common`` if there is none."""
-    if labels.sum() == 0:
+def best_cut(clean: np.ndarray, toxic: np.ndarray, common: float = 0.3) -> float:
+    """From counts by bin of score the edge with the best F1, the middle one of equals; ``common`` without toxic texts."""
+    if toxic.sum() <= 0:
         return common
-    order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + labels.sum())
-    f1[:-1][s[:-1] == s[1:]] = 0
-    i = int(f1.argmax())
-    return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
+    hits, called = np.cumsum(toxic[::-1])[::-1], np.cumsum((clean + toxic)[::-1])[::-1]
+    f1 = 2 * hits / (called + toxic.sum())
+    best = np.nonzero(f1 >= f1.max() - 1e-12)[0]
+    return float(best[len(best) // 2]) / len(toxic)
 
 
 class Trained:
-    """What scoring needs: the model with its calibration, and the thresholds."""
+    """What scoring needs: the model with its calibration; and the ids that it was fitted to."""
 
-    def __init__(self, model: TextCNN | None, prior: float, thresholds: dict[str, float], common: float, kept_words: int = 100_000):
-        self.model, self.prior, self.thresholds, self.common, self.kept_words = model, prior, thresholds, common, kept_words
+    def __init__(self, model: TextCNN | None, prior: float, fitted: list, kept_words: int = 100_000):
+        self.model, self.prior, self.fitted, self.kept_words = model, prior, fitted, kept_words
         self.known: _Known | None = None
 
     def _evidence(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -225,35 +229,35 @@ class Trained:
         return self.model.scores(self.model.logits(self._evidence(texts)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample: int = 4000, sample_words: int = 20_000, least_lang: int = 100) -> Trained:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000, sample_words: int = 5_000) -> Trained:
     """Fit on the texts of at most ``sample`` ids of ``labels``, by hash of the id, of at most ``sample_words`` words.
 
     The sampled labels are joined where the texts lie, so only their words' buckets are moved; of
-    texts that share an id one is taken. Every fifth text is held back for the calibration and the
-    thresholds. A language with fewer than ``least_lang`` held-back texts uses the common threshold.
+    texts that share an id one is taken. Every fifth text is held back for the calibration. The driver
+    gets at most 20 bytes for each of ``sample * sample_words`` words.
     """
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_ids(t).tobytes() for t in b.column(1).to_pylist()], pa.binary()), b.column(2), b.column(3)], names=["id", "ids", "label", "lang"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_ids(t).tobytes() for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["id", "ids", "label"])
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     some = some.orderBy(F.xxhash64(F.lit(9), "_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col(id_col), F.col(text_col), "_label", F.col(lang_col).cast("string"))
-    rows = rows.mapInArrow(ids, f"id {kind}, ids binary, label int, lang string").where(F.length("ids") <= 4 * SLOTS * sample_words)
-    got = rows.groupBy("id").agg(F.min(F.struct("ids", "label", "lang")).alias("r")).select("r.*").toArrow()
+    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col(id_col), F.col(text_col), "_label")
+    rows = rows.mapInArrow(ids, f"id {kind}, ids binary, label int").where(F.length("ids") <= 4 * SLOTS * sample_words)
+    got = rows.groupBy("id").agg(F.min(F.struct("ids", "label")).alias("r")).select("id", "r.*").toArrow()
     held = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.binary())
     held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
     # Views of one buffer: small copies of every text would stay with the driver's allocator.
     ends = np.frombuffer(held.buffers()[1], np.int32, len(held) + 1, held.offset * 4) if len(held) else np.zeros(1, np.int32)
     texts = [np.frombuffer(held.buffers()[2], np.int32, (b - a) // 4, a).reshape(-1, SLOTS) if b > a else np.zeros((0, SLOTS), np.int32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
     labels = np.array([1.0 if x == 1 else 0.0 for x in got.column("label").to_pylist()])
-    langs = got.column("lang").to_pylist()
+    names = got.column("id").to_pylist()
     del got
     if len(set(labels.tolist())) < 2:
-        return Trained(None, float(labels.mean()) if len(labels) else 0.0, {}, 0.3)
+        return Trained(None, float(labels.mean()) if len(labels) else 0.0, [])
     order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].tobytes()), i))  # the sample's order may differ between runs
     held = np.array(order[::5])
     rest = np.array([i for k, i in enumerate(order) if k % 5])
@@ -261,31 +265,60 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     model.fit([texts[i] for i in rest], labels[rest])
     logits = model.logits(model.evidence(texts[i]) for i in held)
     model.calibrate(logits, labels[held])
-    scores = model.scores(logits)
-    common = best_threshold(scores, labels[held])
-    thresholds = {}
-    for lang in {x for x in langs if x is not None}:
-        some = np.array([langs[i] == lang for i in held])
-        if some.sum() >= least_lang and labels[held][some].sum() >= 10:
-            thresholds[lang] = best_threshold(scores[some], labels[held][some], common)
-    return Trained(model, float(labels.mean()), thresholds, common)
-
-
-def score(docs: DataFrame, trained: Trained, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with score, threshold (of its language) and toxic; these names must be free."""
-    bounded_batches(docs.sparkSession)
-    clash = {"score", "threshold", "toxic"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    return Trained(model, float(labels.mean()), [names[i] for i in rest])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, threshold double"
+
+def thresholds(scored: DataFrame, labels: DataFrame, trained: Trained, *, id_col: str = "doc_id", label_col: str = "toxic", lang_col: str = "lang") -> tuple[dict[str, float], float]:
+    """By language, and the common one. ``scored`` has id, language and score.
+
+    All labelled rows count but those of the texts that the model was fitted to. The driver gets one
+    row for each language, bin and label.
+    """
+    spark = scored.sparkSession
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    if trained.fitted:  # as many as the sample at most
+        kind = dict(scored.dtypes)[id_col]
+        known = known.join(F.broadcast(spark.createDataFrame([(i,) for i in trained.fitted], f"_id {kind}")), "_id", "left_anti")
+    seen = scored.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.least(F.floor(F.col("score") * CUTS), F.lit(CUTS - 1)).cast("int").alias("bin"))
+    counts = seen.join(known, "_id").groupBy("lang", "bin", "_label").agg(F.count("*").alias("n")).collect()
+    every, by = np.zeros((2, CUTS)), {}
+    for r in counts:
+        for h in (every, by.setdefault(r["lang"], np.zeros((2, CUTS)))):
+            h[int(r["_label"] == 1), r["bin"]] += r["n"]
+    common = best_cut(*every)
+    prior = every * (SHRINK / max(every.sum(), 1.0))
+    return {lang: best_cut(*(h + prior), common) for lang, h in by.items() if lang is not None}, common
+
+
+def score(docs: DataFrame, trained: Trained, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with score; this name must be free."""
+    bounded_batches(docs.sparkSession)
+    if "score" in docs.columns:
+        raise ValueError("columns in the way: ['score']")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = {n: i for i, n in enumerate(b.schema.names)}
-            texts = b.column(at[text_col])
+            texts = b.column(b.schema.names.index(text_col))
             scores = np.concatenate([trained(texts.slice(i, 64).to_pylist()) for i in range(0, len(texts), 64)] or [np.zeros(0)])
-            cuts = [trained.thresholds.get(x, trained.common) for x in b.column(at[lang_col]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array(cuts, pa.float64())], names=[*b.schema.names, "score", "threshold"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema).withColumn("toxic", F.col("score") >= F.col("threshold"))
+    return docs.mapInArrow(run, schema)
+
+
+def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample: int = 4000, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without its text unless ``keep_text``) with score, threshold (of its language) and toxic; these names must be free.
+
+    Texts are scored once; scores are checkpointed, since thresholds come from them.
+    """
+    clash = {"score", "threshold", "toxic"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns in the way: {sorted(clash)}")
+    trained = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
+    scored = score(docs, trained, text_col=text_col)
+    scored = cut(scored if keep_text else scored.drop(text_col))
+    own, common = thresholds(scored, labels, trained, id_col=id_col, label_col=label_col, lang_col=lang_col)
+    limit = F.lit(common)
+    if own:
+        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.coalesce(F.col(lang_col).cast("string"), F.lit(""))), limit)
+    return scored.withColumn("threshold", limit).withColumn("toxic", F.col("score") >= F.col("threshold"))

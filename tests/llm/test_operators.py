@@ -68,10 +68,32 @@ def test_toxicity_finds_what_it_was_taught(spark):
     rows = [(i, " ".join(f"word{x}" for x in rng.integers(0, 60, 30)) + (" vile rotten" if i % 5 == 0 else ""), "en" if i % 2 else "fr") for i in range(900)]
     docs = spark.createDataFrame([*rows, (900, None, None), (901, "", "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)] + [(601, None), (5000, 1)], "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    got = {r.doc_id: r for r in toxicity.classified(docs, labels).collect()}
     assert all(got[i].toxic == (i % 5 == 0) for i in range(600, 900))
     assert got[900].score == got[901].score and not got[900].toxic
-    assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).where("toxic").count() == 0
+    assert toxicity.classified(docs, labels.limit(0)).where("toxic").count() == 0
+    assert toxicity.classified(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_thresholds_follow_languages(spark):
+    """Counts of all labelled texts outside the fit; a language with few texts comes close to the common cut."""
+    rows = [("en", i, 0.1 + 0.4 * (i % 2), i % 2) for i in range(2000)] + [("de", 5000 + i, 0.6 + 0.3 * (i % 2), i % 2) for i in range(2000)] + [("es", 9000, 0.55, 1), (None, 9001, 0.2, 0)]
+    scored = spark.createDataFrame([(i, lang, s) for lang, i, s, _ in rows], "doc_id long, lang string, score double")
+    labels = spark.createDataFrame([(i, t) for *_, i, _, t in [(r[0], r[1], r[2], r[3]) for r in rows]] + [(1, None), (10**6, 1)], "doc_id long, toxic int")
+    own, common = toxicity.thresholds(scored, labels, toxicity.Trained(None, 0.5, []))
+    assert 0.1 < own["en"] <= 0.5 and 0.6 < own["de"] <= 0.9 and abs(own["es"] - common) < 0.05 and None not in own
+    few, _ = toxicity.thresholds(scored, labels, toxicity.Trained(None, 0.5, [9000]))
+    assert "es" not in few
+
+
+def test_toxicity_long_texts_and_equal_texts(spark):
+    word = " ".join(f"word{i % 50}" for i in range(30000))
+    docs = spark.createDataFrame([(i, word if i % 7 == 0 else f"plain text number {i % 3}" + (" vile" if i % 4 == 0 else ""), "x", "en") for i in range(1500)], "doc_id long, text string, start string, lang string")
+    got = toxicity.classified(docs, spark.createDataFrame([(i, int(i % 4 == 0 and i % 7 > 0)) for i in range(1000)], "doc_id long, toxic int")).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.text].add(r.score)
+    assert len(got) == 1500 and all(len(x) == 1 for x in by.values()) and all(0 <= r.score <= 1 for r in got)
 
 
 def test_cap_filters_find_every_link(spark):
@@ -263,12 +285,99 @@ def test_simhash(spark, docs):
 
 def test_bit_sliced_distances():
     rng = np.random.default_rng(3)
-    x = rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    y = x.copy()
-    for k in range(8):
-        y ^= np.where(rng.random(5000) < 0.4, np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64), np.uint64(0))
-    for radius in (0, 1, 2, 3, 5):
-        assert (simhash.within(x, y, radius) == (np.bitwise_count(x ^ y) <= radius)).all()
+    for n in (1, 17, 64):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = x[rng.integers(0, n, 300)].copy()
+        for k in range(8):
+            y ^= np.where(rng.random(300) < 0.4, np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64), np.uint64(0))
+        planes, lanes = np.tile(simhash.planes_of(x), (300, 1)), np.full(300, 2**n - 1, np.uint64)
+        for radius in (0, 1, 2, 3, 5):
+            near = simhash.near_lanes(planes, y, lanes, radius)
+            got = (near[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool)
+            assert (got[:, :n] == (np.bitwise_count(y[:, None] ^ x[None]) <= radius)).all() and not got[:, n:].any()
+
+
+def test_simhash_large_bucket(spark, monkeypatch):
+    base = 0x0123456789ABCDEF
+    r = random.Random(9)
+    values = sorted({base ^ sum(1 << r.randrange(20) for _ in range(r.randrange(7))) for _ in range(700)})
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    def join(a, b):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+
+    for x in simhash.linked_fingerprints(df, 2).collect():
+        assert (x.a ^ x.b) != 0
+        join(x.a, x.b)
+    got = {v: find(v) for v in values}
+    root = {v: v for v in values}
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 2:
+                join(a, b)
+    assert got == {v: find(v) for v in values}
+
+
+def _java_jpeg(spark, rgb):
+    """A progressive JPEG from Java's own encoder, and the pixels its decoder gives for any JPEG."""
+    j = spark._jvm
+    height, width, _ = rgb.shape
+    image = j.java.awt.image.BufferedImage(width, height, 1)
+    for y in range(height):
+        for x in range(width):
+            image.setRGB(x, y, int(rgb[y, x, 0]) << 16 | int(rgb[y, x, 1]) << 8 | int(rgb[y, x, 2]))
+    writer = j.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setProgressiveMode(1)
+    out = j.java.io.ByteArrayOutputStream()
+    writer.setOutput(j.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, j.javax.imageio.IIOImage(image, None, None), param)
+    writer.getOutput().flush()
+    return bytes(out.toByteArray())
+
+
+def _java_pixels(spark, data):
+    j = spark._jvm
+    image = j.javax.imageio.ImageIO.read(j.java.io.ByteArrayInputStream(data))
+    return np.array([[(v >> 16 & 255, v >> 8 & 255, v & 255) for v in (image.getRGB(x, y) for x in range(image.getWidth()))] for y in range(image.getHeight())], int)
+
+
+def test_decoder_agrees_with_another(spark):
+    y, x = np.mgrid[0:45, 0:37]
+    smooth = np.stack([120 + 60 * np.sin(x / 9), 90 + y, 200 - 2 * x], axis=-1)
+    noise = np.random.default_rng(5).integers(-30, 30, (45, 37, 1))
+    for rgb in (smooth, np.clip(smooth + noise, 0, 255)):
+        data = _java_jpeg(spark, rgb.astype(int))
+        assert b"\xff\xc2" in data
+        got, want = media.Decoder(data).rgb().astype(int), _java_pixels(spark, data)
+        assert np.abs(got - want).mean() < 2.5 and np.abs(got.mean(axis=2) - want.mean(axis=2)).max() < 16
+
+
+def test_decoder_restarts_wide_tables_and_broken_files(spark):
+    raw = bytes(range(256)) * 9
+    plain = media.encode(raw)
+    # One wide quantisation table, and a restart before every unit of the first scan, whose differences are single zero bits.
+    wide = plain.replace(media._segment(0xDB, bytes([0]) + b"\x01" * 64), media._segment(0xDB, bytes([0x10]) + b"\x00\x01" * 64))
+    at = wide.index(b"\xff\xda")
+    head = at + 2 + int.from_bytes(wide[at + 2 : at + 4], "big")
+    end = wide.index(b"\xff\xc4" if b"\xff\xc4" in wide[head:] else b"\xff\xda", head)
+    end = min(i for i in (wide.find(b"\xff\xda", head), wide.find(b"\xff\xc4", head)) if i > 0)
+    units = media.Decoder(plain).mcus
+    marks = b"".join(b"\x03" + bytes([0xFF, 0xD0 + k % 8]) for k in range(units[0] * units[1] - 1)) + b"\x03"
+    restarted = wide[:at] + media._segment(0xDD, (1).to_bytes(2, "big")) + wide[at:head] + marks + media._segment(0xDD, b"\0\0") + wide[end:]
+    assert media.Decoder(restarted).payload() == raw and (media.Decoder(restarted).rgb() == media.Decoder(plain).rgb()).all()
+    rows = [(1, restarted), (2, None), (3, b""), (4, b"no jpeg"), (5, plain[:200]), (6, plain[:-900]), (7, b"\xff\xd8\xff\xc0\x00\x04\x00\x00")]
+    got = {r.id: r for r in media.decode_media(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert got[1].error is None and len(got[1].rgb) == 3 * got[1].height * got[1].width
+    assert len(got) == 7 and all(got[i].error and got[i].rgb is None for i in (2, 3, 4, 5, 7))
+    assert media.decode_media(spark.createDataFrame([], "id int, media binary")).count() == 0
 
 
 def _distance(a, b):
