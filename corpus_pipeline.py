@@ -19,8 +19,7 @@ def documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, at the threshold of their language, go."""
-    trained = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), trained).where("not toxic").select(*COLUMNS)
+    return toxicity.classified(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("not toxic").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
