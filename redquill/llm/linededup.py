@@ -32,7 +32,7 @@ from redquill.llm.runtime import cut
 BROADCAST_ROWS = 500_000
 
 
-HOT = 512  # lines of a key whose pairs are made at once
+HOT = 64  # lines of a key whose pairs are made at once; more are refined
 LEVELS = 6
 
 
