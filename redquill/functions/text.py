@@ -100,10 +100,14 @@ def canonical_edit(source: Column, suggestion: Column, category: Column, reason:
 ADMIN_HEADING = r"(?iu)^(?:số\s*:|ký\s+hiệu\s*:|điều\s+\d+|chương\s+[ivxlcdm\d]+|mục\s+\d+|phần\s+[ivxlcdm\d]+|phụ\s+lục\s)"
 
 
+# Python's white space, spelled out for Java.
+SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def is_heading(text: Column) -> Column:
     """At most twelve tokens, no sentence end, and capitals throughout or on half of the words."""
-    whole = F.trim(text)
-    tokens = F.filter(F.split(whole, r"\s+"), lambda t: t != "")
+    whole = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    tokens = F.filter(F.split(whole, f"[{SPACE}]+"), lambda t: t != "")
     clean = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""))
     alpha = F.filter(clean, lambda t: t.rlike(r"^\p{L}+$"))
     upper = F.forall(alpha, lambda t: (t == F.upper(t)) & (t != F.lower(t)))
@@ -111,7 +115,7 @@ def is_heading(text: Column) -> Column:
     return (whole != "") & (F.size(tokens) <= 12) & (whole.rlike(ADMIN_HEADING) | (~whole.rlike(r"[.!?]$") & (F.size(alpha) > 0) & (upper | (capital * 2 >= F.size(alpha)))))
 
 
-def comment_text(source: Column, suggestion: Column, detector: Column, reason: Column) -> Column:
+def comment_text(source: Column, suggestion: Column, detector: Column, reason: Column, category: Column | None = None) -> Column:
     """The comment on a finding; the templates are fixed values."""
     clean = lambda c: F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
     s, g, r = clean(source), clean(suggestion), clean(reason)
@@ -121,7 +125,73 @@ def comment_text(source: Column, suggestion: Column, detector: Column, reason: C
     return (
         F.when((g != "") & detector.startswith("punctuation.leading_space"), F.concat(wrong, F.lit(" (thừa khoảng trắng trước dấu câu) → Đề xuất: “"), g, F.lit("”")))
         .when(g != "", F.concat(wrong, F.lit(" → Đề xuất: “"), g, F.lit("”")))
-        .when(detector.startswith("word.repeated."), F.concat(wrong, F.lit(" → Đề xuất: xoá phần được bôi màu")))
+        .when(detector.startswith("word.repeated.") | (F.lit("") if category is None else category).eqNullSafe("repetition"), F.concat(wrong, F.lit(" → Đề xuất: xoá phần được bôi màu")))
+        .when(detector.startswith("dictionary.unknown"), F.concat(F.lit("Lưu ý: “"), marked, F.lit("” → Từ chưa có trong từ điển tiếng Việt (kiểm tra lại chính tả hoặc tên riêng)")))
         .when(r != "", F.concat(F.lit("Lưu ý: “"), marked, F.lit("” → "), r))
         .otherwise(F.concat(wrong, F.lit(" → Đề xuất: xoá phần được bôi màu")))
     )
+
+
+def highlight(confidence: Column) -> Column:
+    return F.when(confidence >= 0.9, "red").otherwise("yellow")
+
+
+# What a review says for each reason code.
+REASONS = {
+    "spelling": "Từ hoặc cụm từ có thể sai chính tả.", "diacritic": "Dấu tiếng Việt có thể được đặt chưa đúng.", "compound_word": "Cách viết từ ghép có thể chưa đúng.",
+    "capitalization": "Cách viết hoa có thể chưa phù hợp.", "punctuation": "Dấu câu có thể chưa đúng vị trí hoặc cách dùng.", "spacing": "Khoảng trắng có thể chưa đúng.",
+    "repetition": "Từ hoặc cụm từ có thể bị lặp không cần thiết.", "technical": "Cách trình bày kỹ thuật có thể chưa phù hợp.", "grammar": "Cấu trúc câu có thể chưa đúng ngữ pháp.",
+    "word_choice": "Từ được dùng có thể chưa phù hợp với ngữ cảnh.", "custom_rule": "Nội dung có thể chưa phù hợp với quy tắc riêng.",
+}
+
+
+def review_reason(code: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.coalesce(code, F.lit(""))), F.lit("Nội dung cần được kiểm tra lại."))
+
+
+def onset_length(word: Column) -> Column:
+    """Letters before the first vowel; gi and qu count as onsets where a vowel follows them."""
+    bare = F.lower(strip_diacritics(word))
+    head = F.length(F.regexp_extract(bare, "^([^aeiouy]*)", 1))
+    return F.when(bare.rlike("^(?:gi|qu).*[aeiouy]"), 2).otherwise(head).cast("int")
+
+
+def _parts(word: Column) -> tuple[Column, Column, Column]:
+    cut = onset_length(word)
+    return cut, F.lower(F.left(word, cut)), F.call_function("substring", word, cut + 1)
+
+
+def onset_only(source: Column, suggestion: Column) -> Column:
+    """One syllable keeps its rime and only its onset is another."""
+    (c1, o1, r1), (c2, o2, r2) = _parts(source), _parts(suggestion)
+    return ~F.concat(source, suggestion).rlike(f"[{SPACE}]") & (c1 > 0) & (c2 > 0) & (r1 != "") & (r1 == r2) & (o1 != o2)
+
+
+def rime_only(source: Column, suggestion: Column) -> Column:
+    """One syllable keeps its onset, and its rime is at most two edits away."""
+    (c1, o1, r1), (c2, o2, r2) = _parts(source), _parts(suggestion)
+    bare = F.when((c1 == 0) & (c2 == 0), F.levenshtein(source, suggestion) <= 2)
+    return ~F.concat(source, suggestion).rlike(f"[{SPACE}]") & bare.otherwise((c1 > 0) & (c2 > 0) & (o1 == o2) & (r1 != "") & (r2 != "") & (F.levenshtein(r1, r2) <= 2))
+
+
+def merge_tone_only(source: Column, candidate: Column) -> Column:
+    """``source`` with the tones of ``candidate``, token by token and in the source's case; unchanged if their numbers differ."""
+    token = f"[^{SPACE}]+"
+    find = lambda c: F.regexp_extract_all(c, F.lit(f"({token})"), F.lit(1))
+    letters = r"^\p{L}+$"
+
+    def one(s: Column, c: Column) -> Column:
+        same = s.rlike(letters) & c.rlike(letters) & (F.lower(detone(s)) == F.lower(detone(c)))
+        capital = (F.left(s, F.lit(1)) != F.lower(F.left(s, F.lit(1))))
+        cased = F.when((s == F.upper(s)) & (s != F.lower(s)), F.upper(c)).when(capital, F.concat(F.upper(F.left(c, F.lit(1))), F.call_function("substring", c, F.lit(2)))).otherwise(F.lower(c))
+        return F.when(same, cased).otherwise(s)
+
+    gaps, merged = F.split(source, token, -1), F.zip_with(find(source), find(candidate), one)
+    whole = F.array_join(F.zip_with(gaps, F.concat(merged, F.array(F.lit(""))), lambda g, t: F.concat(g, t)), "")
+    return F.when(F.size(find(source)) == F.size(find(candidate)), whole).otherwise(source)
+
+
+def json_body(content: Column) -> Column:
+    """A model's answer without the fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.trim(content), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 PRIORITY = {"spelling": 4, "compound_word": 3, "capitalization": 2, "technical": 1}
 
 
-def priority(category: Column) -> Column:
+# The order of categories in reviews.
+REVIEW_PRIORITY = {"spelling": 6, "compound_word": 5, "grammar": 4, "word_choice": 3, "capitalization": 2, "technical": 1, "custom_rule": 0}
+
+
+def priority(category: Column, values: dict[str, int] = PRIORITY) -> Column:
     out = F.lit(0)
-    for name, value in PRIORITY.items():
+    for name, value in values.items():
         out = F.when(category == name, F.lit(value)).otherwise(out)
     return out
 
@@ -47,8 +51,8 @@ def longest_first(findings: Column, kind: str) -> Column:
 
 
 def review_order(findings: Column, kind: str) -> Column:
-    """Shorter first, then discoveries, category, confidence and id."""
-    return greedy(findings, kind, lambda f: f["end"] - f["start"], lambda f: F.when(f["detector_id"].startswith("llm.discovery"), 0).otherwise(1), lambda f: -priority(f["category"]), lambda f: -f["confidence"], lambda f: f["detector_id"])
+    """Shorter first, then discoveries, category, confidence and id (in a block, ids differ from start to detector)."""
+    return greedy(findings, kind, lambda f: f["end"] - f["start"], lambda f: F.when(f["detector_id"].startswith("llm.discovery"), 0).otherwise(1), lambda f: -priority(f["category"], REVIEW_PRIORITY), lambda f: -f["confidence"], lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string"), f["detector_id"]))
 
 
 def interval_anti(findings: DataFrame, kept: DataFrame) -> DataFrame:
@@ -64,8 +68,20 @@ def dedup_exact(findings: DataFrame) -> DataFrame:
 
 
 def quota(findings: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` in the order of the review quota, over all documents."""
-    return findings.orderBy(~F.col("detector_id").startswith("llm.discovery"), F.col("end") - F.col("start"), -priority(F.col("category")), "start", F.desc("confidence"), "id", "doc_id").limit(limit)
+    """Of each document the first ``limit`` in the order of the review quota; in the order of the document at the end of a sort by it."""
+    w = Window.partitionBy("doc_id").orderBy(~F.col("detector_id").startswith("llm.discovery."), F.col("end") - F.col("start"), -priority(F.col("category"), REVIEW_PRIORITY), "start", F.desc("confidence"), "id")
+    return findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def rule_limit(findings: DataFrame, limit: int) -> DataFrame:
+    """Of each document the first ``limit`` findings by block and start."""
+    w = Window.partitionBy("doc_id").orderBy("block_ord", "start", "end", "detector_id")
+    return findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def unwritten(findings: DataFrame, written: DataFrame) -> DataFrame:
+    """Findings whose (doc_id, id) isn't among the written ones."""
+    return findings.join(written.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
 
 
 def verdict_filter(findings: DataFrame, verdicts: DataFrame, least: float) -> DataFrame:
@@ -83,8 +99,13 @@ def anchored(findings: DataFrame, blocks: DataFrame) -> DataFrame:
     return findings.join(b, ["doc_id", "block_ord"]).where(same).drop("_text")
 
 
+def not_ignored(source: Column, ignored: list[str], pattern: str) -> Column:
+    """Whether a text, or any word in it, isn't on the request's list of ignored words."""
+    words = F.array(*[F.lit(w.strip().lower()) for w in ignored]) if ignored else F.array().cast("array<string>")
+    own = F.transform(F.regexp_extract_all(source, F.lit(f"({pattern})"), F.lit(1)), F.lower)
+    return ~F.array_contains(words, F.lower(source)) & ~F.arrays_overlap(own, words)
+
+
 def without_ignored(findings: DataFrame, ignored: list[str], pattern: str) -> DataFrame:
     """Findings whose text, or any word of it, isn't on the request's list of ignored words."""
-    words = F.array(*[F.lit(w.strip().lower()) for w in ignored]) if ignored else F.array().cast("array<string>")
-    own = F.transform(F.regexp_extract_all("source_text", F.lit(f"({pattern})"), F.lit(1)), F.lower)
-    return findings.where(~F.array_contains(words, F.lower("source_text")) & ~F.arrays_overlap(own, words))
+    return findings.where(not_ignored(F.col("source_text"), ignored, pattern))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redquill.functions.text import EDGE, MARKED, WORD, match_case, spans
+from redquill.functions.text import EDGE, MARKED, SPACE, WORD, match_case, spans
 
 RULE_VERSION = "rules-0.2.0"
-# Python's white space, spelled out for Java.
-SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 MULTIPLE = " {2,}"
 LEADING = r"[ \x{a0}]+(?:[,;:!?]|\.(?!\.))"
 MISSING = r"[,.;:!?](?=[^" + SPACE + r"\p{Nd},.;:!?])(?![/\\)\]}»”’\"'])(?<!(?<=[\p{L}\p{N}])\.(?=\p{L}))(?<!(?<=[,.;:!?])\.)(?<!:(?=[/\\]))"
@@ -87,25 +85,50 @@ def explode(blocks: DataFrame, findings: Column) -> DataFrame:
 
 def words(blocks: DataFrame, pattern: str = WORD) -> DataFrame:
     """doc_id, block_ord, pos, start, end, word."""
-    return blocks.select("doc_id", "block_id", "block_ord", "text", F.posexplode(spans(F.col("text"), pattern)).alias("pos", "m")).select("doc_id", "block_id", "block_ord", "text", "pos", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.source_text").alias("word"))
-
-
-def confusions(blocks: DataFrame, table: DataFrame, longest: int = 3) -> DataFrame:
-    """Known wrong phrases by equi-join on word n-grams; the table is a checked small lexicon."""
-    tokens = blocks.select("doc_id", "block_id", "block_ord", "text", spans(F.col("text"), r"[\p{L}\p{N}_]+").alias("w"))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.element_at("w", i)["start"].alias("start"), F.when(i + (k - 1) <= F.size("w"), F.get(F.col("w"), i + (k - 2))["end"]).alias("end")))
-        for k in range(1, longest + 1)
-    ]
-    rows = tokens.where("size(w) > 0").select("doc_id", "block_id", "block_ord", "text", F.explode(F.concat(*grams)).alias("g")).where("g.end is not null")
-    rows = rows.select("doc_id", "block_id", "block_ord", F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.call_function("substring", F.col("text"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("source_text"))
+    return blocks.select("doc_id", "block_id", "block_ord", F.posexplode(spans(F.col("text"), pattern)).alias("pos", "m")).select("doc_id", "block_id", "block_ord", "pos", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.source_text").alias("word"))
+
+
+def confusions(blocks: DataFrame, table: DataFrame) -> DataFrame:
+    """Known wrong phrases by equi-join on word n-grams, up to the longest phrase of the table; only candidates' own text is joined."""
+    pattern = r"[\p{L}\p{N}_]+"
+    longest = table.agg(F.max(F.regexp_count("wrong", F.lit(pattern)))).first()[0] or 0
+    if not longest:
+        longest = 1
+    # A gram is the words with what stands between them, taken from matches and gaps rather than from the whole text.
+    tokens = blocks.select("doc_id", "block_id", "block_ord", spans(F.col("text"), pattern).alias("w"), F.split("text", pattern, -1).alias("gaps"))
+
+    def of_length(k: int) -> Column:
+        def gram(i: Column) -> Column:
+            words = [F.get(F.col("w"), i + j) for j in range(k)]
+            text = [words[0]["source_text"], *(x for j in range(1, k) for x in (F.get(F.col("gaps"), i + j), words[j]["source_text"]))]
+            return F.when(i + k <= F.size("w"), F.struct(words[0]["start"].alias("start"), words[-1]["end"].alias("end"), F.concat(*text).alias("source_text")))
+
+        return F.transform(F.sequence(F.lit(0), F.size("w") - 1), gram)
+
+    grams = [of_length(k) for k in range(1, longest + 1)]
+    rows = tokens.where("size(w) > 0").select("doc_id", "block_id", "block_ord", F.explode(F.concat(*grams)).alias("g")).where("g is not null").select("doc_id", "block_id", "block_ord", "g.*")
     found = rows.join(table, F.lower("source_text") == F.col("wrong"))
     return found.select("doc_id", "block_id", "block_ord", "start", "end", "source_text", F.lit("spelling").alias("category"), F.concat(F.lit("confusion."), F.replace("wrong", F.lit(" "), F.lit("_")), F.lit(".v1")).alias("detector_id"), match_case(F.col("source_text"), F.col("right")).alias("suggestion"), F.lit(0.98).alias("confidence"), F.lit(4).alias("detector_ord"))
 
 
+def _neighbours(words: Column, gaps: Column) -> Column:
+    """Pairs (l, r) of words next to one another with nothing but white space between, made inside the row."""
+    n = F.size(words) - 1
+    z = F.arrays_zip(F.slice(words, 1, n).alias("l"), F.slice(words, 2, n).alias("r"), F.slice(gaps, 2, n).alias("gap"))
+    return F.when(n > 0, F.filter(z, lambda p: p["gap"].rlike(f"^[{SPACE}]*$")))
+
+
+def bigram_counts(blocks: DataFrame) -> DataFrame:
+    """w1, w2, n: how often lower-case words stand next to one another; only the pairs leave a block's row."""
+    words, gaps = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.split("text", WORD, -1)
+    held = blocks.select(words.alias("w"), gaps.alias("g"))
+    pairs = held.select(F.explode(_neighbours(F.col("w"), F.col("g"))).alias("p"))
+    return pairs.groupBy(F.lower("p.l").alias("w1"), F.lower("p.r").alias("w2")).agg(F.count("*").alias("n"))
+
+
 def bigrams(blocks: DataFrame) -> DataFrame:
-    """Adjacent words with nothing but white space between: doc_id, block_ord, pos, w1, w2, start, end."""
-    w = Window.partitionBy("doc_id", "block_ord").orderBy("pos")
-    rows = words(blocks).withColumn("w2", F.lead("word").over(w)).withColumn("s2", F.lead("start").over(w)).withColumn("e2", F.lead("end").over(w))
-    between = F.call_function("substring", F.col("text"), F.col("end") + 1, F.col("s2") - F.col("end"))
-    return rows.where(F.col("w2").isNotNull() & between.rlike(f"^[{SPACE}]*$")).select("doc_id", "block_id", "block_ord", "pos", F.col("word").alias("w1"), "w2", "start", F.col("e2").alias("end"))
+    """Adjacent words with nothing but white space between: doc_id, block_ord, w1, w2, start, end, source_text."""
+    held = blocks.select("doc_id", "block_id", "block_ord", spans(F.col("text"), WORD).alias("w"), F.split("text", WORD, -1).alias("g"))
+    pairs = held.select("doc_id", "block_id", "block_ord", F.explode(_neighbours(F.col("w"), F.col("g"))).alias("p"))
+    l, r = F.col("p.l"), F.col("p.r")
+    return pairs.select("doc_id", "block_id", "block_ord", l["source_text"].alias("w1"), r["source_text"].alias("w2"), l["start"].alias("start"), r["end"].alias("end"), F.concat(l["source_text"], "p.gap", r["source_text"]).alias("source_text"))

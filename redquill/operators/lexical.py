@@ -136,8 +136,6 @@ def bigram_tones(blocks: DataFrame, syllables: DataFrame, compounds: DataFrame,
     for side in ("n1", "n2"):
         places = _ignoring(places, side, ignored or [])
     found = places.join(tone_confusions(places, syllables, compounds, confusions), ["n1", "n2"])
-    text = blocks.select("doc_id", "block_ord", "text")
-    found = found.join(text, ["doc_id", "block_ord"]).withColumn("source_text", _sub(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
     return _shape(found.select("*", F.concat(F.lit("confusion."), "n1", F.lit("_"), "n2", F.lit(".v1")).alias("detector_id"), match_case(F.col("source_text"), F.col("cand")).alias("suggestion"), F.lit(0.95).alias("confidence")), "compound_word", 4)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redquill.functions import text as fn
-from redquill.operators import administrative, arbitrate, chunking, detectors, evaluate, lexical
+from redquill.operators import administrative, arbitrate, chunking, detectors, evaluate, lexical, reviewing
 from redquill.plans.rules import rule_findings
 from redquill.sources.blocks import blocks_from_text, inspect
 
@@ -68,8 +68,7 @@ w AS (SELECT *, lead(t, 2) OVER (PARTITION BY doc_id, block_ord ORDER BY i) AS w
 SELECT lower(t) AS w1, lower(w2) AS w2, count(*) AS n FROM w WHERE regexp_full_match(t, '[A-Za-zÀ-ỹĐđ]+') AND w2 IS NOT NULL AND trim(after, ' ' || chr(9) || chr(13)) = '' GROUP BY 1, 2"""
 )
 def token_bigrams(spark, d):
-    pairs = detectors.bigrams(blocks_from_text(documents(spark, d)))
-    return pairs.groupBy(F.lower("w1").alias("w1"), F.lower("w2").alias("w2")).agg(F.count("*").alias("n"))
+    return detectors.bigram_counts(blocks_from_text(documents(spark, d)))
 
 
 def _findings(blocks: DataFrame, found) -> DataFrame:
@@ -203,11 +202,94 @@ def dedup_exact(spark, d):
     return arbitrate.dedup_exact(copies).select("doc_id", "block_ord", "start", "detector_id", "confidence")
 
 
-@query(f"""WITH {blocks_sql()}, {SPACES_SQL}, a AS ({D4_SQL}) SELECT doc_id, block_ord::INT AS block_ord, start::INT AS start, "end"::INT AS "end" FROM a
-ORDER BY "end" - start, start, 'document:p' || block_ord || ':' || start || ':' || "end" || ':word.repeated.v2', doc_id LIMIT 1000""")
+MIXED = ("spelling", "compound_word", "grammar", "word_choice", "capitalization", "technical", "custom_rule")
+MIXED_SQL = "list_extract([" + ", ".join(f"'{c}'" for c in MIXED) + "], (start % 7)::INT + 1)"
+
+
+def _mixed(spark, d) -> DataFrame:
+    """Repeated words as findings of seven categories, every third by a review."""
+    found = detectors.explode(blocks_from_text(documents(spark, d)), detectors.repeated_word(F.col("text")))
+    category = F.element_at(F.array(*[F.lit(c) for c in MIXED]), (F.col("start") % 7 + 1).cast("int"))
+    return found.withColumn("category", category).withColumn("detector_id", F.when(F.col("start") % 3 == 0, "llm.discovery.x.v2").otherwise(F.col("detector_id"))).withColumn("confidence", (F.col("start") % 4) / 4)
+
+
+@query(f"""WITH {blocks_sql()}, {SPACES_SQL}, a AS (SELECT *, {MIXED_SQL} AS category, start % 3 = 0 AS found FROM ({D4_SQL})),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY NOT found, "end" - start, list_position(['custom_rule', 'technical', 'capitalization', 'word_choice', 'grammar', 'compound_word', 'spelling'], category) DESC, start, start % 4 DESC, 'document:p' || block_ord || ':') AS n FROM a)
+SELECT doc_id, block_ord::INT AS block_ord, start::INT AS start, "end"::INT AS "end", category FROM n WHERE n <= 20""")
 def quota_topk(spark, d):
+    return arbitrate.quota(_mixed(spark, d), 20).select("doc_id", "block_ord", "start", "end", "category")
+
+
+@query(f"""WITH {blocks_sql()}, {SPACES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_ord, start) AS n FROM ({D4_SQL}))
+SELECT doc_id, block_ord::INT AS block_ord, start::INT AS start, "end"::INT AS "end" FROM n WHERE n <= 5""")
+def rule_limit(spark, d):
     found = detectors.explode(blocks_from_text(documents(spark, d)), detectors.repeated_word(F.col("text")))
-    return arbitrate.quota(found, 1000).select("doc_id", "block_ord", "start", "end")
+    return arbitrate.rule_limit(found, 5).select("doc_id", "block_ord", "start", "end")
+
+
+@query(f"""WITH {blocks_sql()}, {SPACES_SQL}, c AS (SELECT *, (start % 6)::INT AS k, trim(source_text) AS m FROM ({D4_SQL}))
+SELECT doc_id, block_ord::INT AS block_ord, start::INT AS start, CASE k WHEN 0 THEN 'Sai: “' || m || '” (thừa khoảng trắng trước dấu câu) → Đề xuất: “x”' WHEN 1 THEN 'Sai: “' || m || '” → Đề xuất: “x”' WHEN 2 THEN 'Sai: “' || m || '” → Đề xuất: xoá phần được bôi màu'
+WHEN 3 THEN 'Lưu ý: “' || m || '” → Từ chưa có trong từ điển tiếng Việt (kiểm tra lại chính tả hoặc tên riêng)' WHEN 4 THEN 'Lưu ý: “' || m || '” → why' ELSE 'Sai: “' || m || '” → Đề xuất: xoá phần được bôi màu' END AS comment,
+CASE WHEN start % 10 = 9 THEN 'red' ELSE 'yellow' END AS colour FROM c""")
+def comment_render(spark, d):
+    found = detectors.explode(blocks_from_text(documents(spark, d)), detectors.repeated_word(F.col("text"))).withColumn("k", F.col("start") % 6)
+    k = F.col("k")
+    detector = F.when(k == 0, "punctuation.leading_space.v2").when(k == 3, "dictionary.unknown.v1").otherwise("other.v1")
+    comment = fn.comment_text(F.col("source_text"), F.when(k < 2, "x").otherwise(""), detector, F.when(k == 4, "why").otherwise(""), F.when(k == 2, "repetition").otherwise("technical"))
+    return found.select("doc_id", "block_ord", "start", comment.alias("comment"), fn.highlight((F.col("start") % 10) / 10).alias("colour"))
+
+
+@query(rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{fn.WORD}')) AS w FROM documents), b AS (SELECT w, lower(strip_accents(replace(replace(w, 'đ', 'd'), 'Đ', 'D'))) AS b FROM w WHERE regexp_full_match(w, '[a-zA-Z]+'))
+SELECT w, (CASE WHEN (starts_with(b, 'gi') OR starts_with(b, 'qu')) AND regexp_matches(substr(b, 3), '[aeiouy]') THEN 2 ELSE coalesce(nullif(instr(translate(b, 'eiouy', 'aaaaa'), 'a'), 0), length(b) + 1) - 1 END)::INT AS n FROM b""")
+def onset_length(spark, d):
+    words = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(f"({fn.WORD})"), F.lit(1))).alias("w")).where("w rlike '^[a-zA-Z]+$'").distinct()
+    return words.select("w", fn.onset_length(F.col("w")).alias("n"))
+
+
+@query("SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1) // 3)::INT AS batch FROM conversations")
+def classifier_batches(spark, d):
+    return reviewing.batches(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "text", size=3).select("conv_id", "turn", "batch")
+
+
+@query("""SELECT doc_id, count(*) AS chunks, sum(k + 1)::BIGINT AS blocks, sum(CASE WHEN (doc_id + k) % 4 = 0 THEN 0 ELSE k + 1 END)::BIGINT AS reviewed_blocks, count(*) FILTER (WHERE (doc_id + k) % 4 = 0 AND k = 0) AS timeouts, count(*) FILTER (WHERE (doc_id + k) % 4 = 0 AND k = 1) AS invalid_outputs,
+count(*) FILTER (WHERE (doc_id + k) % 4 = 0 AND k = 2) AS inference_errors, count(*) FILTER (WHERE (doc_id + k) % 3 = 0) AS retried, count(*) FILTER (WHERE (doc_id + k) % 3 = 0 AND (doc_id + k) % 4 <> 0) AS recovered, CASE WHEN bool_or((doc_id + k) % 4 = 0) THEN 'partial' ELSE 'complete' END AS status FROM documents, range(3) r(k) GROUP BY doc_id""")
+def review_coverage(spark, d):
+    rows = documents(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("chunk"))
+    at = F.col("doc_id") + F.col("chunk")
+    kinds = F.element_at(F.array(F.lit("timeout"), F.lit("invalid_output"), F.lit("inference_error")), F.col("chunk") + 1)
+    return reviewing.coverage(rows.select("doc_id", "chunk", (F.col("chunk") + 1).alias("blocks"), F.when(at % 4 == 0, kinds).alias("failure"), (at % 3 == 0).alias("retried")))
+
+
+@query("SELECT doc_id, k::INT AS item_ord, (k % 2)::INT AS line, (row_number() OVER (PARTITION BY doc_id, k % 2, k % 3 ORDER BY k) - 1)::INT AS nth FROM documents, range(12) r(k)")
+def occurrence_assign(spark, d):
+    k = F.col("item_ord")
+    items = documents(spark, d).select(F.col("doc_id").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("item_ord")).select("*", (k % 2).alias("line"), (k % 3).cast("string").alias("src"), F.lit("x").alias("fix"))
+    return reviewing.occurrences(items).select(F.col("chunk").alias("doc_id"), "item_ord", "line", "nth")
+
+
+@query("SELECT doc_id, (doc_id % 5 <> 0 AND doc_id % 3 = 0) AS approved FROM documents")
+def quality_gate(spark, d):
+    i, h = F.col("doc_id"), F.sha2(F.col("doc_id").cast("string"), 256)
+    profile = lambda memory, p: F.struct(memory.cast("double").alias("machine_memory_mb"), F.lit(20).alias("documents"), p.alias("precision"), F.lit(0.85).alias("recall"), F.lit(180.0).alias("p95_seconds"), F.lit(1.0).alias("peak_rss_mb"), h.alias("report_sha256"))
+    profiles = F.array(profile(F.lit(8000), F.lit(0.95)), profile(F.when(i % 3 == 0, 16000).otherwise(8000), F.when(i % 5 == 0, 0.5).otherwise(0.9)))
+    return documents(spark, d).select("doc_id", reviewing.quality_approved(h, profiles).alias("approved"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, s""")
+def activity_sessions(spark, d):
+    found = reviewing.silences(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts")
+    return found.select("user_id", "n", F.unix_micros(F.col("first").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last").cast("timestamp")).alias("last_us"))
+
+
+@query()
+def segments(spark, d):
+    return reviewing.segments(blocks_from_text(documents(spark, d)), 100)
+
+
+@query()
+def noise_apply(spark, d):
+    return documents(spark, d).select("doc_id", reviewing.noisy(F.col("text"), F.col("doc_id"), "heavy").alias("text"))
 
 
 @query(f"""WITH {blocks_sql()}, {SPACES_SQL}, a AS ({D4_SQL}), v AS (SELECT *, CASE WHEN start % 4 = 3 THEN NULL WHEN start % 2 = 0 THEN 'keep' ELSE 'drop' END AS verdict, (start % 10) / 10.0 AS sure FROM a)
@@ -242,15 +324,22 @@ def finding_context(spark, d):
     )
 
 
-@query(
-    rf"""SELECT doc_id, lower(strip_accents(replace(replace(left(text, 200), 'đ', 'd'), 'Đ', 'D'))) AS plain, greatest(1, (octet_length(encode(text)) + 2) // 3)::INT AS tokens,
-levenshtein(regexp_replace(left(text, 40), '[^ -~]', 'x', 'g'), regexp_replace(substr(text, 3, 40), '[^ -~]', 'x', 'g'))::INT AS distance, translate(left(text, 200), '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') AS swapped FROM documents WHERE lang <> 'de' AND lang <> 'es'"""
-)
+# Accents that both sides strip; ß stays. Distances are between neighbouring lines, so no text is cut.
+PLAIN_SQL = "lower(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D')))"
+
+
+@query(f"""SELECT doc_id, {PLAIN_SQL} AS plain, greatest(1, (octet_length(encode(text)) + 2) // 3)::INT AS tokens, translate(text, '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') AS swapped FROM documents""")
 def scalar_functions(spark, d):
     t = F.col("text")
-    return documents(spark, d).where("lang != 'de' and lang != 'es'").select(
-        "doc_id", F.lower(fn.strip_diacritics(F.translate(F.substring(t, 1, 200), "çÇëïîÿäöüûÄÖÜÛñÑ", "cCeiiyaouuAOUUnN"))).alias("plain"), fn.token_estimate(t).alias("tokens"), F.levenshtein(*(F.regexp_replace(F.substring(t, i, 40), "[^ -~]", "x") for i in (1, 3))).alias("distance"), fn.tone_swap(F.substring(t, 1, 200)).alias("swapped")
-    )
+    bare = F.translate(t, "çÇëïîÿäöüûÄÖÜÛñÑËÏÎŸåÅ", "cCeiiyaouuAOUUnNEIIYaA")
+    return documents(spark, d).select("doc_id", F.lower(fn.strip_diacritics(bare)).alias("plain"), fn.token_estimate(t).alias("tokens"), fn.tone_swap(t).alias("swapped"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) > 3)) AS w FROM documents), p AS (SELECT DISTINCT unnest(w) AS w FROM w)
+SELECT w, levenshtein(w, reverse(w))::INT AS distance FROM p""")
+def edit_distance(spark, d):
+    words = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("w")).where("length(w) > 3").distinct()
+    return words.select("w", F.levenshtein("w", F.reverse("w")).alias("distance"))
 
 
 @query(
@@ -264,11 +353,11 @@ def heading_detect(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT doc_id, k, left(text, 20) AS s, CASE k WHEN 0 THEN upper(left(text, 20)) WHEN 1 THEN replace(left(text, 20), ' ', '  ') WHEN 2 THEN replace(left(text, 20), ' ', '') ELSE left(text, 20) || 'x' END AS g FROM documents, range(4) r(k) WHERE lang = 'en')
+    """WITH e AS (SELECT doc_id, k, s, CASE k WHEN 0 THEN upper(s) WHEN 1 THEN replace(s, ' ', '  ') WHEN 2 THEN replace(s, ' ', '') ELSE s || 'x' END AS g FROM (SELECT doc_id, replace(text, 'ß', 's') AS s FROM documents), range(4) r(k))
 SELECT doc_id, k::INT AS k, CASE WHEN lower(s) = lower(g) THEN 'capitalization' WHEN lower(regexp_replace(s, '\\s+', ' ', 'g')) = lower(regexp_replace(g, '\\s+', ' ', 'g')) THEN 'technical' WHEN lower(regexp_replace(s, '\\s+', '', 'g')) = lower(regexp_replace(g, '\\s+', '', 'g')) THEN 'compound_word' ELSE 'grammar' END AS category FROM e""".replace("\\\\", "\\")
 )
 def canonicalize_edit(spark, d):
-    rows = documents(spark, d).where("lang = 'en'").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), F.substring("text", 1, 20).alias("s"))
+    rows = documents(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), F.replace("text", F.lit("ß"), F.lit("s")).alias("s"))
     s, k = F.col("s"), F.col("k")
     g = F.when(k == 0, F.upper(s)).when(k == 1, F.replace(s, F.lit(" "), F.lit("  "))).when(k == 2, F.replace(s, F.lit(" "), F.lit(""))).otherwise(F.concat(s, F.lit("x")))
     return rows.select("doc_id", "k", fn.canonical_edit(s, g, F.lit("grammar"), F.lit("x"))["category"].alias("category"))
@@ -358,11 +447,10 @@ def latency_percentile(spark, d):
     return evaluate.nearest_rank(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value", 0.95)
 
 
-@query("SELECT conv_id, string_agg((turn + 1) || '|' || text, chr(10) ORDER BY turn) AS payload FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(n || '|' || text, chr(10) ORDER BY n) AS payload FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id")
 def chunk_payload(spark, d):
     turns = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null")
-    held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return held.select("conv_id", F.array_join(F.transform("t", lambda t: F.concat((t["turn"] + 1).cast("string"), F.lit("|"), t["text"])), "\n").alias("payload"))
+    return reviewing.payload(turns, "conv_id", "turn")
 
 
 @query(r"SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ỹĐđ]+')) AS w FROM documents) WHERE regexp_full_match(lower(w), '[a-zà-ỹđ]{2,7}')")
@@ -380,7 +468,7 @@ def _values(rows) -> str:
 # Words with e for ẻ are looked up among those with e for ẽ and the plain ones.
 @query(
     rf"""WITH raw AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{fn.WORD}'))) AS p FROM documents),
-words AS (SELECT DISTINCT translate(p, 'e', 'ẻ') AS w FROM raw WHERE length(p) <= 7), syllables AS (SELECT p AS cand FROM raw UNION SELECT translate(p, 'e', 'ẽ') FROM raw),
+words AS (SELECT DISTINCT translate(p, 'e', 'ẻ') AS w FROM raw), syllables AS (SELECT p AS cand FROM raw UNION SELECT translate(p, 'e', 'ẽ') FROM raw),
 horns(n, a, b) AS (VALUES {_values((n, *x) for n, x in enumerate(lexical.DOUBLE_HORN))}), reps(n, a, b) AS (VALUES {_values((n, *x) for n, x in enumerate(lexical.REPLACEMENTS))}), fams(f) AS (VALUES {_values((v,) for v in fn.VOWELS)}),
 chars AS (SELECT w, i, substr(w, i, 1) AS c FROM (SELECT w, unnest(generate_series(1, length(w))) AS i FROM words)),
 cands AS (SELECT w, 0 AS k, 0 AS i, 0 AS j, translate(w, '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') AS cand FROM words WHERE translate(w, '{fn.SWAPPED[0]}', '{fn.SWAPPED[1]}') <> w
@@ -392,7 +480,7 @@ SELECT w, cand, (row_number() OVER (PARTITION BY w ORDER BY rank))::INT AS n FRO
 )
 def suggest_corrections(spark, d):
     raw = documents(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({fn.WORD})"), F.lit(1))).alias("p")).distinct()
-    words = raw.where("length(p) <= 7").select(F.translate("p", "e", "ẻ").alias("w"))
+    words = raw.select(F.translate("p", "e", "ẻ").alias("w"))
     syllables = raw.select(F.col("p").alias("w")).union(raw.select(F.translate("p", "e", "ẽ"))).distinct()
     found = lexical.corrections(words, syllables)
     return found.select("w", "cand", F.row_number().over(Window.partitionBy("w").orderBy("rank")).alias("n"))
