@@ -32,7 +32,7 @@ from redquill.llm.runtime import cut
 BROADCAST_ROWS = 500_000
 
 
-HOT = 64  # lines of a key whose pairs are made at once; more are refined
+HOT = 512  # lines of a key whose pairs are made at once; more are refined
 LEVELS = 6
 
 
@@ -182,7 +182,7 @@ def near_edges(lines: DataFrame, radius: int, chars_per_edit: int) -> tuple[Data
         groups = state.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 and own")
         cold, hot = groups.where(F.col("c") <= HOT).select("key"), cut(groups.where(F.col("c") > HOT).select("key"))
         some = state.join(cold, "key", "left_semi").select("key", "node", "letters", "n", "own").distinct()
-        met = some.where("own").alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & ~_apart("x", "y", radius))
+        met = some.where("own").alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & (~F.col("y.own") | (F.col("x.node") < F.col("y.node"))) & ~_apart("x", "y", radius))
         pairs.append(cut(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
         if hot.isEmpty():
             break
