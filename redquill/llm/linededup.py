@@ -6,9 +6,10 @@ that length can lie. First only keys are counted; keys that a single line has ar
 lines behind the others go on. Pairs of a key are made in bounded groups. A key with many lines is refined
 instead: the shared segment is taken out of each line, then what all of its lines have in common before
 and behind, and what is left is cut into segments again; within r edits, it still shares one. A group
-that can't be refined is compared with one line of its own, and only lines that aren't near it with others.
+that can't be refined is compared whole. In every group all lines meet its most frequent line first, and two
+lines that are near that one don't meet: they are in one class already.
 
-Lines that meet and whose letter counts allow it are verified by a banded bit-parallel automaton over the
+Lines that meet and whose letters and pairs of letters allow it are verified by a banded bit-parallel automaton over the
 part between their common ends: one word for each number of edits, one bit for each diagonal of the band.
 Lines that are linked, directly or through others, are one class, and only the first line of a class (by
 id, text and line number) stays. 128 bits name a line.
@@ -98,6 +99,27 @@ def letters_apart(a: Column, b: Column) -> Column:
     return out
 
 
+def pair_parities(line: Column) -> Column:
+    """128 bits in two longs: of every hash of two neighbouring characters, whether it occurs an odd number of times."""
+    chars = F.split(line, "")
+
+    def pairs(c: Column) -> Column:
+        return F.transform(c, lambda x, i: F.xxhash64(x, F.get(c, i + 1)).bitwiseAND(127).cast("int"))
+
+    def half(bits: Column, top: bool) -> Column:
+        own = F.filter(bits, lambda b: b >= 64 if top else b < 64)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda x, b: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)))
+
+    # Each step binds what the next one uses more than once.
+    bits = F.transform(F.transform(F.array(chars), pairs), lambda b: F.array(half(b, False), half(b, True)))
+    return bits[0]
+
+
+def parities_apart(a: Column, b: Column) -> Column:
+    """In how many bits two parities differ; an edit changes four at most: two pairs of characters go, two come."""
+    return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
+
+
 def within(a: Column, b: Column, allowed: Column, radius: int) -> Column:
     """Whether two arrays of characters are at most ``allowed`` (``radius`` at most) edits apart.
 
@@ -165,6 +187,28 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def met_in_groups(members: DataFrame, texts: DataFrame, radius: int, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
+    """Links between each group's most frequent line and those near it, and the pairs (a, b) that this leaves open.
+
+    ``members`` has key, node, letters, n, copies and own; at least one line of a pair has the key as its own. Lines near
+    the same line are in one class already, so that only pairs of which one isn't near it are still to be compared.
+    """
+    some = cut(members.groupBy("key", "node", "letters", "n", "copies").agg(F.max("own").alias("own")))
+    centre = F.max_by(F.struct("node", "letters", "n"), F.struct("copies", -F.col("node")))
+    centres = some.where("own").groupBy("key").agg(centre.alias("x"))
+    around = cut(some.alias("y").join(centres.alias("c"), "key").where("y.node != c.x.node").select("key", "y.node", "y.letters", "y.n", "y.own", F.col("x.node").alias("centre"), (~_apart("x", "y", radius)).alias("maybe")))
+    ends = (F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+    close = cut(verified(around.where("maybe").select(*ends).distinct(), texts, radius, chars_per_edit))
+    judged = around.select("key", "node", "letters", "n", "own", *ends).join(_few(close.withColumn("near", F.lit(True))), ["a", "b"], "left").drop("a", "b").withColumn("near", F.col("near").isNotNull())
+    left = judged.groupBy("key").agg(F.count("*").alias("c"), F.min("near").alias("all")).where("c > 1 and not all").select("key")
+    left = judged.join(left, "key", "left_semi")
+    parities = texts.join(_few(cut(left.select("node").distinct())), "node", "left_semi").select("node", pair_parities(F.col("line")).alias("parities"))
+    left = cut(left.join(parities, "node"))
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & (~F.col("y.own") | (F.col("x.node") < F.col("y.node"))) & ~(F.col("x.near") & F.col("y.near")) & ~_apart("x", "y", radius) & (parities_apart(F.col("x.parities"), F.col("y.parities")) <= 4 * radius)
+    met = left.where("own").alias("x").join(left.alias("y"), on)
+    return close, cut(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+
 def near_edges(lines: DataFrame, radius: int, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between different lines that are within their allowed edits, and the nodes (node, k, k2) they speak of."""
     long = lines.where(F.col("n") >= chars_per_edit).withColumn("tag", F.lit(0).cast("long"))
@@ -174,39 +218,35 @@ def near_edges(lines: DataFrame, radius: int, chars_per_edit: int) -> tuple[Data
     members = segment_keys(long, radius, edits, "k", "k2", "n").join(_few(open_keys), "key", "left_semi")
     members = cut(members.groupBy("key", "k", "k2", "n", "at", "size").agg(F.max("own").alias("own")))
     wanted = cut(members.select("k", "k2").distinct())
-    texts = long.join(_few(wanted), ["k", "k2"], "left_semi").groupBy("k", "k2").agg(F.min("line").alias("line"))
+    texts = long.join(_few(wanted), ["k", "k2"], "left_semi").groupBy("k", "k2").agg(F.min("line").alias("line"), F.count("*").alias("copies"))
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()).withColumn("letters", letter_counts(F.col("line"))))
-    state = cut(members.join(texts.select("k", "k2", "node", "letters"), ["k", "k2"]).select("key", "node", "letters", "n", "own", "at", "size", edits(F.col("n")).alias("r")))
+    state = cut(members.join(texts.select("k", "k2", "node", "letters", "copies"), ["k", "k2"]).select("key", "node", "letters", "copies", "n", "own", "at", "size", edits(F.col("n")).alias("r")))
     pairs, links = [], []
     for level in range(LEVELS + 1):
         groups = state.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 and own")
         cold, hot = groups.where(F.col("c") <= HOT).select("key"), cut(groups.where(F.col("c") > HOT).select("key"))
-        some = state.join(cold, "key", "left_semi").select("key", "node", "letters", "n", "own").distinct()
-        met = some.where("own").alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & (~F.col("y.own") | (F.col("x.node") < F.col("y.node"))) & ~_apart("x", "y", radius))
-        pairs.append(cut(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
+        close, met = met_in_groups(state.join(cold, "key", "left_semi"), texts, radius, chars_per_edit)
+        links.append(close)
+        pairs.append(met)
         if hot.isEmpty():
             break
         inside = state.join(hot, "key", "left_semi")
         if not level:  # what is left of a line in a group: at first all of it
             inside = inside.join(texts.select("node", F.col("line").alias("rest")), "node")
-        inside = cut(inside.select("key", "node", "letters", "n", "r", F.concat(F.left("rest", F.col("at") - 1), F.substring("rest", F.col("at") + F.col("size"), F.length("rest"))).alias("rest")))
+        inside = cut(inside.select("key", "node", "letters", "copies", "n", "r", F.concat(F.left("rest", F.col("at") - 1), F.substring("rest", F.col("at") + F.col("size"), F.length("rest"))).alias("rest")))
         firsts = inside.groupBy("key").agg(F.min("rest").alias("first"))
         ends = inside.join(firsts, "key").groupBy("key").agg(F.min(common_start(F.col("rest"), F.col("first"))).alias("p"), F.min(common_start(F.reverse("rest"), F.reverse("first"))).alias("e"), F.min(F.length("rest")).alias("least"), F.max(F.length("rest")).alias("most"), F.min("r").alias("edits"))
         ends = ends.select("key", "p", F.least(F.col("e"), F.col("least") - F.col("p")).alias("e"), "most", F.col("edits").alias("r"))
         inside = inside.drop("r").join(ends, "key").withColumn("bare", F.length("rest") - F.col("p") - F.col("e"))
         inside = cut(inside.withColumn("done", (F.col("most") - F.col("p") - F.col("e") < 2 * (F.col("r") + 1)) | F.lit(level == LEVELS)).withColumn("rest", F.substring("rest", F.col("p") + 1, F.col("bare"))))
-        # Groups that end here: everything against one line, and what isn't near it against all.
-        ended = inside.where("done").select("key", "node", "letters", "n")
-        to_one = ended.join(ended.groupBy("key").agg(F.min("node").alias("one")), "key").where("node != one")
-        close = cut(verified(to_one.select(F.col("one").alias("a"), F.col("node").alias("b")).distinct(), texts, radius, chars_per_edit))
+        # Groups that end here.
+        close, met = met_in_groups(inside.where("done").withColumn("own", F.lit(True)), texts, radius, chars_per_edit)
         links.append(close)
-        far = to_one.join(close.select(F.col("a").alias("one"), F.col("b").alias("node")), ["one", "node"], "left_anti").select("key", "node", "letters", "n")
-        met = far.alias("x").join(ended.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & ~_apart("x", "y", radius))
-        pairs.append(cut(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
+        pairs.append(met)
         # The others are cut into segments again, within their group.
-        again = inside.where("not done").select(F.col("rest").alias("line"), F.col("bare").alias("n"), F.col("key").alias("tag"), "node", "letters", F.col("n").alias("whole"), "r", F.col("rest").alias("kept"))
-        cuts = segment_keys(again, radius, lambda _: F.col("r"), "node", "letters", "whole", "r", "kept")
-        same = ("key", "node", "letters", "whole", "at", "size", "r", "kept")
+        again = inside.where("not done").select(F.col("rest").alias("line"), F.col("bare").alias("n"), F.col("key").alias("tag"), "node", "letters", "copies", F.col("n").alias("whole"), "r", F.col("rest").alias("kept"))
+        cuts = segment_keys(again, radius, lambda _: F.col("r"), "node", "letters", "copies", "whole", "r", "kept")
+        same = ("key", "node", "letters", "copies", "whole", "at", "size", "r", "kept")
         state = cut(cuts.groupBy(*same).agg(F.max("own").alias("own")).withColumnsRenamed({"whole": "n", "kept": "rest"}))
     every = pairs[0]
     for more in pairs[1:]:

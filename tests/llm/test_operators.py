@@ -422,6 +422,23 @@ def test_line_dedup(spark, radius):
     assert linededup.remove_lines(df.limit(0)).count() == 0
 
 
+def test_an_edit_changes_at_most_four_parities(spark):
+    r = random.Random(8)
+    rows = []
+    for _ in range(400):
+        line = "".join(r.choices("ab é😀", k=r.randrange(1, 40)))
+        near = list(line)
+        edits = r.randrange(3)
+        for _ in range(edits):
+            at, kind = r.randrange(len(near) + 1), r.randrange(3)
+            near[at : at + (kind != 0)] = [] if kind == 1 else [r.choice("ab é😀z")]
+        rows.append((line, "".join(near) or "a", edits))
+    df = spark.createDataFrame(rows, "x string, y string, edits int")
+    apart = linededup.parities_apart(linededup.pair_parities(F.col("x")), linededup.pair_parities(F.col("y")))
+    assert df.where(F.col("y") != "a").where(apart > 4 * F.col("edits")).count() == 0
+    assert df.where((F.length("x") > 20) & (apart > 8)).count() == 0 and df.select(linededup.parities_apart(linededup.pair_parities(F.lit("one line of words")), linededup.pair_parities(F.lit("the other text")))).first()[0] > 8
+
+
 def test_line_dedup_refines_keys_that_many_lines_share(spark):
     """Lines with one long beginning, end or middle, some of them near: refined groups find what all pairs find."""
     r = random.Random(6)
