@@ -58,9 +58,9 @@ def segment_keys(lines: DataFrame, radius: int, edits, *carry: str) -> DataFrame
     rows = lines.select("line", "n", "tag", *carry, F.explode(specs).alias("s"))
     r, i, length = F.col("s.r"), F.col("s.i"), F.col("n") - F.col("s.less")
     rows = rows.where((length > r) & (edits(length) == r))
-    size, short = F.floor(length / (r + 1)), (r + 1) - length % (r + 1)  # so many segments have the lesser length
+    size, short = F.call_function("div", length, r + 1), (r + 1) - length % (r + 1)  # so many segments have the lesser length
+    # A place off by the shifts that there are still lies within the line, as no segment is empty.
     rows = rows.select("*", (i * size + F.greatest(i - short, F.lit(0)) + 1 + F.col("s.shift")).cast("int").alias("at"), (size + (i >= short).cast("int")).cast("int").alias("size"))
-    rows = rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
     key = F.xxhash64("tag", length.cast("int"), r, i, F.substring("line", F.col("at"), F.col("size")))
     return rows.select(key.alias("key"), F.col("s.own").alias("own"), "at", "size", *carry)
 
@@ -212,7 +212,7 @@ def met_in_groups(members: DataFrame, texts: DataFrame, radius: int, chars_per_e
 def near_edges(lines: DataFrame, radius: int, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between different lines that are within their allowed edits, and the nodes (node, k, k2) they speak of."""
     long = lines.where(F.col("n") >= chars_per_edit).withColumn("tag", F.lit(0).cast("long"))
-    edits = lambda n: F.least(F.lit(radius), F.floor(n / chars_per_edit)).cast("int")
+    edits = lambda n: F.least(F.lit(radius), F.call_function("div", n, F.lit(chars_per_edit))).cast("int")
     counts = segment_keys(long, radius, edits, "k").groupBy("key").agg(F.max("own").alias("own"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     open_keys = cut(counts.where("own and lo != hi").select("key"))
     members = segment_keys(long, radius, edits, "k", "k2", "n").join(_few(open_keys), "key", "left_semi")
