@@ -31,7 +31,7 @@ LONGEST, MOST_WORDS = 32, 4
 LETTERS = regex.compile(r"[\p{L}\p{N}\p{M}]*")
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
 BLANK = regex.compile(r"(\s+)")
-EDITS = "array<struct<offset:int,source_text:string,suggestion:string>>"
+EDITS = "array<struct<kind:int,offset:int,source_text:string,suggestion:string>>"
 
 
 def ends(a: str, b: str) -> tuple[int, int]:
@@ -108,11 +108,12 @@ def region_edits(source: str, fix: str) -> list[tuple[int, str, str]]:
     return [(a, source[a:b], fix[c:d]) for a, b, c, d in regions]
 
 
-def proposals(source: str | None, fix: str | None, reason: str | None) -> dict[str, list]:
-    """Edits of each kind, safe or not."""
+def proposals(source: str | None, fix: str | None, reason: str | None) -> list[dict]:
+    """Edits, safe or not, with their kind: 0 the whole replacement, 1 by tokens, 2 by regions."""
     if not source or fix is None or normalize("NFC", source) == normalize("NFC", fix):
-        return {"whole": [], "tokens": [], "regions": []}
-    return {"whole": whole_edit(source, fix, reason), "tokens": token_edits(source, fix, reason), "regions": region_edits(source, fix)}
+        return []
+    kinds = whole_edit(source, fix, reason), token_edits(source, fix, reason), region_edits(source, fix)
+    return [dict(zip(("kind", "offset", "source_text", "suggestion"), (kind, *e))) for kind, edits in enumerate(kinds) for e in edits]
 
 
 def _trimmed(c: Column) -> Column:
@@ -141,20 +142,16 @@ def localized(rows: DataFrame, source: str = "source_text", fix: str = "suggesti
     A deletion is judged before a heading's case is kept: in headings only tones may change.
     """
 
-    @F.pandas_udf(f"struct<whole:{EDITS},tokens:{EDITS},regions:{EDITS}>")
-    def propose(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for a, b, c in batches:
-            found = [proposals(*x) for x in zip(a, b, c)]
-            yield pd.DataFrame({kind: [[dict(zip(("offset", "source_text", "suggestion"), e)) for e in f[kind]] for f in found] for kind in ("whole", "tokens", "regions")})
+    @F.pandas_udf(EDITS)
+    def propose(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([proposals(*x) for x in zip(*columns)], dtype=object)
 
     why = F.coalesce(F.col(reason), F.lit(""))
-
-    def kept(edits: Column) -> Column:
-        allowed = F.filter(edits, lambda e: (e["suggestion"] != "") | (why.isin(*MAY_DELETE) & (F.length(e["source_text"]) <= 16)))
-        toned = F.transform(allowed, lambda e: e.withField("suggestion", F.when(fn.is_heading(e["source_text"]), fn.merge_tone_only(e["source_text"], e["suggestion"])).otherwise(e["suggestion"])))
-        return F.filter(toned, lambda e: safe(e["source_text"], e["suggestion"], why))
-
-    out = rows.withColumn("_p", propose(F.col(source), F.col(fix), why))
-    for kind in ("whole", "tokens", "regions"):
-        out = out.withColumn(f"_{kind}", kept(F.col(f"_p.{kind}")))
-    return out.withColumn("edits", F.when(F.size("_whole") > 0, F.col("_whole")).when(F.size("_tokens") > 0, F.col("_tokens")).otherwise(F.col("_regions"))).drop("_p", "_whole", "_tokens", "_regions")
+    deletable = lambda e: (e["suggestion"] != "") | (why.isin(*MAY_DELETE) & (F.length(e["source_text"]) <= 16))
+    toned = lambda e: e.withField("suggestion", F.when(fn.is_heading(e["source_text"]), fn.merge_tone_only(e["source_text"], e["suggestion"])).otherwise(e["suggestion"]))
+    kept = F.filter(F.transform(F.filter(propose(F.col(source), F.col(fix), why), deletable), toned), lambda e: safe(e["source_text"], e["suggestion"], why))
+    # Edits of the least kind; every step is bound, so that none is worked out twice.
+    best = F.transform(F.array(kept), lambda k: F.struct(k.alias("k"), F.array_min(F.transform(k, lambda e: e["kind"])).alias("least")))
+    best = F.transform(best, lambda b: F.transform(F.filter(b["k"], lambda e: e["kind"] == b["least"]), lambda e: e.dropFields("kind")))
+    return rows.withColumn("edits", best[0])

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from redquill.functions import composed
 from redquill.functions import text as fn
-from redquill.operators import administrative, arbitrate, chunking, detectors, evaluate, lexical, reviewing
+from redquill.operators import administrative, answers, arbitrate, chunking, detectors, evaluate, lexical, localize, reviewing
 from redquill.plans.rules import rule_findings
 from redquill.sources.blocks import blocks_from_text, inspect
 
@@ -513,3 +514,49 @@ def det_administrative(spark, d):
     """The text with a citation before every stop; see the tests for phrases and golden findings."""
     docs = documents(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(" chương iv và quận 1. ")))
     return administrative.findings(blocks_from_text(docs))
+
+
+# Every line is a target; an answer names the first word of each, with a wrong line number for every second one.
+@query(
+    rf"""WITH l AS (SELECT doc_id, ls, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents) WHERE len(ls) <= 32),
+w AS (SELECT *, regexp_extract(text, '{fn.WORD}') AS s FROM l)
+SELECT doc_id AS chunk_id, i::INT AS item_ord, doc_id || '#' || i AS block_id, (instr(text, s) - 1)::INT AS start, (instr(text, s) - 1 + length(s))::INT AS "end", s AS source_text, s || 'x' AS suggestion, 'spelling' AS category, 'spelling' AS reason_code, 0.9::DOUBLE AS confidence
+FROM w WHERE s <> '' AND length(s) < 200 AND (i % 2 = 0 OR len(list_filter(ls, lambda x: contains(x, s))) = 1)"""
+)
+def review_items(spark, d):
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x != "")
+    targets = F.transform(lines, lambda x, i: F.struct(F.concat(F.col("doc_id").cast("string"), F.lit("#"), i.cast("string")).alias("block_id"), F.lit(0).alias("source_start"), x.alias("text")))
+    word = lambda t: F.regexp_extract(t["text"], fn.WORD, 0)
+    answer = F.to_json(F.transform("targets", lambda t, i: F.struct((i + 1 + (i % 2) * 1000).alias("l"), word(t).alias("s"), F.concat(word(t), F.lit("x")).alias("r"))))
+    return answers.anchored(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), targets.alias("targets")).withColumn("items", answer))
+
+
+# Batches of eight ids; every third answer leaves out its least candidate and so doesn't count.
+@query(
+    """SELECT doc_id // 8 AS batch, doc_id::VARCHAR AS candidate_id, CASE WHEN doc_id % 2 = 0 THEN 'keep' ELSE 'drop' END AS verdict, (doc_id % 10)::DOUBLE / 10 AS confidence FROM documents WHERE (doc_id // 8) % 3 <> 0"""
+)
+def verdict_answers(spark, d):
+    ids = documents(spark, d).groupBy(F.floor(F.col("doc_id") / 8).alias("batch")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    given = F.when(F.col("batch") % 3 == 0, F.slice("ids", 2, 8)).otherwise(F.col("ids"))
+    items = F.transform(given, lambda i: F.struct(i.cast("string").alias("candidate_id"), F.when(i % 2 == 0, "keep").otherwise("drop").alias("verdict"), ((i % 10) / 10).alias("confidence")))
+    return answers.verdicts(ids.select("batch", F.col("ids").cast("array<string>").alias("accepted"), F.to_json(F.struct(items.alias("verdicts"))).alias("content")))
+
+
+# Every word twice around another, both changed: one edit while it is short, else one for each.
+@query(
+    rf"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{fn.WORD}'))) AS w FROM documents), p AS (SELECT w, regexp_replace(w, '^([^e]*)e', '\1é') AS g, length(w) AS n FROM w WHERE contains(w, 'e'))
+SELECT w, 0 AS "offset", w || ' hay ' || w AS source_text, g || ' hay ' || g AS suggestion FROM p WHERE 2 * n + 5 <= 32
+UNION ALL SELECT w, unnest([0, n + 5])::INT, w, g FROM p WHERE 2 * n + 5 > 32 AND n <= 32"""
+)
+def localized_edits(spark, d):
+    words = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(f"({fn.WORD})"), F.lit(1))).alias("w")).select(F.lower("w").alias("w")).distinct().where(F.contains("w", F.lit("e")))
+    twice = lambda c: F.concat(c, F.lit(" hay "), c)
+    pairs = words.select("w", twice(F.col("w")).alias("source_text"), twice(F.regexp_replace("w", "^([^e]*)e", "$1é")).alias("suggestion"), F.lit("spelling").alias("reason_code"))
+    # An outer explode: a plain one has the edits worked out once more in a filter.
+    return localize.localized(pairs).select("w", F.explode_outer("edits").alias("e")).where("e is not null").select("w", "e.*")
+
+
+@query("SELECT doc_id, nfc_normalize(t) AS text, length(t) AS n_source, length(nfc_normalize(t)) AS n_places, length(t) AS last_end FROM (SELECT doc_id, replace(text, 'é', 'e' || chr(769)) AS t FROM documents)")
+def composed_text(spark, d):
+    apart = documents(spark, d).select("doc_id", F.replace("text", F.lit("é"), F.lit("e\u0301")).alias("t")).withColumn("c", composed.composed(F.col("t")))
+    return apart.select("doc_id", "c.text", F.length("t").cast("long").alias("n_source"), F.size("c.places").cast("long").alias("n_places"), F.array_max(F.transform("c.places", lambda p: p["e"])).cast("long").alias("last_end"))
