@@ -5,14 +5,20 @@ Defined cases: a null text gives null; an empty one has an empty map; a mark wit
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from unicodedata import combining, normalize
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 COMPOSED = "struct<text:string,places:array<struct<s:int,e:int>>>"
+PLACES = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+# Characters below U+0300 neither change nor join what is before them; a run of others goes with the one before it.
+OTHERS = re.compile("(?s).?[\u0300-\U0010ffff]+")
+PIECE = 1 << 20  # characters of a batch that are worked on at once
 
 
 def clusters(text: str) -> list[tuple[int, int]]:
@@ -21,20 +27,52 @@ def clusters(text: str) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(text)]))
 
 
-def composed_text(text: str | None) -> dict | None:
-    if text is None:
-        return None
-    parts = [(normalize("NFC", text[s:e]), s, e) for s, e in clusters(text)]
-    return {"text": "".join(p for p, _, _ in parts), "places": [{"s": s, "e": e} for p, s, e in parts for _ in p]}
+def composed_text(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text in NFC by clusters, and for each of its characters where its cluster starts and ends in ``text``."""
+    parts, starts, ends, at = [], [], [], 0
+    for m in OTHERS.finditer(text):
+        same = np.arange(at, m.start(), dtype=np.int32)
+        held = [(normalize("NFC", m.group()[s:e]), m.start() + s, m.start() + e) for s, e in clusters(m.group())]
+        parts += [text[at : m.start()], *(p for p, _, _ in held)]
+        starts += [same, np.array([s for p, s, _ in held for _ in p], dtype=np.int32)]
+        ends += [same + 1, np.array([e for p, _, e in held for _ in p], dtype=np.int32)]
+        at = m.end()
+    same = np.arange(at, len(text), dtype=np.int32)
+    return "".join([*parts, text[at:]]), np.concatenate([*starts, same]), np.concatenate([*ends, same + 1])
+
+
+def composed_array(texts: list[str | None]) -> pa.Array:
+    """Eight bytes a character and the texts, without an object for every place."""
+    rows = [None if t is None else composed_text(t) for t in texts]
+    none = pa.array([r is None for r in rows], pa.bool_())
+    empty = np.empty(0, dtype=np.int32)
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([empty, *(r[k] for r in rows if r)])) for k in (1, 2)], names=["s", "e"])
+    offsets = np.cumsum([0, *(len(r[1]) if r else 0 for r in rows)], dtype=np.int32)
+    places = pa.ListArray.from_arrays(pa.array(offsets), flat, type=PLACES)
+    return pa.StructArray.from_arrays([pa.array([r[0] if r else None for r in rows], pa.string()), places], names=["text", "places"], mask=none)
+
+
+def pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of ``PIECE`` characters together, or a longer one alone."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > PIECE:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
 
 
 def composed(text: Column) -> Column:
     """(text in NFC by clusters, places: start and end in ``text`` of every character)."""
 
-    @F.pandas_udf(COMPOSED)
-    def compose(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(COMPOSED)
+    def compose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame([composed_text(t) or {"text": None, "places": None} for t in texts], columns=["text", "places"])
+            for some in pieces(texts.to_pylist()):
+                yield composed_array(some)
 
     return F.when(text.isNotNull(), compose(text))
 
