@@ -45,3 +45,14 @@ def test_findings_meet_intervals_in_one_sort(spark):
     out = arbitrate.interval_anti(found, kept)
     assert sorted(str(tuple(r)) for r in out.collect()) == want and out.columns == found.columns
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_meet_a_lexicon_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "Of the, of  THE and the and\nnothing ſee thand_ of off the and"), (2, None), (3, "ſhe İs K")], "doc_id long, text string")
+    table = spark.createDataFrame([("the and", "then and", "r"), ("of the", "off the", "r"), ("of  the and", "x", "r"), ("thand", "than", "r"), ("k", "q", "r"), ("the", "thee", "r")], "wrong string, right string, reason string")
+    found = detectors.confusions(blocks_from_text(docs), table)
+    got = sorted((r.doc_id, r.block_ord, r.start, r.end, r.source_text) for r in found.collect())
+    assert got == [(1, 0, 0, 6, "Of the"), (1, 0, 3, 6, "the"), (1, 0, 8, 19, "of  THE and"), (1, 0, 12, 15, "THE"), (1, 0, 12, 19, "THE and"), (1, 0, 20, 23, "the"), (1, 0, 20, 27, "the and"), (1, 1, 26, 29, "the"), (1, 1, 26, 33, "the and"), (3, 0, 7, 8, "K")]
+    assert not exchanges(found)
+    dotted = spark.createDataFrame([("i̇s k", "x", "r")], "wrong string, right string, reason string")
+    assert [r.source_text for r in detectors.confusions(blocks_from_text(docs), dotted).collect()] == ["İs K"]
