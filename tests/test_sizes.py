@@ -56,3 +56,12 @@ def test_grams_meet_a_lexicon_without_a_shuffle(spark):
     assert not exchanges(found)
     dotted = spark.createDataFrame([("i̇s k", "x", "r")], "wrong string, right string, reason string")
     assert [r.source_text for r in detectors.confusions(blocks_from_text(docs), dotted).collect()] == ["İs K"]
+
+
+def test_items_stay_in_their_row(spark):
+    targets = [("b0", 0, "mot hai mot"), ("b1", 100, "ba bon")]
+    items = json.dumps([{"l": 1, "s": "mot", "r": "một"}, {"l": 1, "s": "mot", "r": "một"}, {"l": 7, "s": "bon", "r": "x"}, {"l": 2, "s": "bon", "r": "x"}])
+    rows = spark.createDataFrame([(0, items, targets), (0, items, targets), (1, items, None)], "chunk_id int, items string, targets array<struct<block_id:string,source_start:int,text:string>>")
+    out = answers.anchored(rows)
+    assert sorted((r.item_ord, r.block_id, r.start) for r in out.collect()) == [(0, "b0", 0)] * 2 + [(1, "b0", 8)] * 2 + [(2, "b1", 103)] * 2
+    assert not exchanges(out)
