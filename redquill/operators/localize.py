@@ -2,7 +2,7 @@
 
 A Python step proposes edits (it needs a sequence matcher): the whole replacement or its changed middle, then
 one edit a token, then one a changed region. Which proposals are safe is a Column expression. The first kind
-that has a safe edit counts.
+that has a safe edit counts; regions are proposed where no other kind has one.
 
 Defined cases: nulls and empty sources have no edits; texts that are equal in NFC neither; edits come in the
 order of the source; no rows give no rows.
@@ -108,12 +108,12 @@ def region_edits(source: str, fix: str) -> list[tuple[int, str, str]]:
     return [(a, source[a:b], fix[c:d]) for a, b, c, d in regions]
 
 
-def proposals(source: str | None, fix: str | None, reason: str | None) -> list[dict]:
-    """Edits, safe or not, with their kind: 0 the whole replacement, 1 by tokens, 2 by regions."""
+def proposals(source: str | None, fix: str | None, reason: str | None, regions: bool) -> list[dict]:
+    """Edits, safe or not, with their kind: 0 the whole replacement and 1 by tokens, or 2 by ``regions``."""
     if not source or fix is None or normalize("NFC", source) == normalize("NFC", fix):
         return []
-    kinds = whole_edit(source, fix, reason), token_edits(source, fix, reason), region_edits(source, fix)
-    return [dict(zip(("kind", "offset", "source_text", "suggestion"), (kind, *e))) for kind, edits in enumerate(kinds) for e in edits]
+    kinds = {2: region_edits(source, fix)} if regions else {0: whole_edit(source, fix, reason), 1: token_edits(source, fix, reason)}
+    return [dict(zip(("kind", "offset", "source_text", "suggestion"), (kind, *e))) for kind, edits in kinds.items() for e in edits]
 
 
 def _trimmed(c: Column) -> Column:
@@ -142,16 +142,27 @@ def localized(rows: DataFrame, source: str = "source_text", fix: str = "suggesti
     A deletion is judged before a heading's case is kept: in headings only tones may change.
     """
 
-    @F.pandas_udf(EDITS)
-    def propose(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            yield pd.Series([proposals(*x) for x in zip(*columns)], dtype=object)
+    def proposed(regions: bool):
+        @F.pandas_udf(EDITS)
+        def propose(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                yield pd.Series([proposals(*x, regions) for x in zip(*columns)], dtype=object)
+
+        # Not to be merged into what uses its result: Spark can't evaluate one such step inside another.
+        return propose.asNondeterministic()
 
     why = F.coalesce(F.col(reason), F.lit(""))
     deletable = lambda e: (e["suggestion"] != "") | (why.isin(*MAY_DELETE) & (F.length(e["source_text"]) <= 16))
     toned = lambda e: e.withField("suggestion", F.when(fn.is_heading(e["source_text"]), fn.merge_tone_only(e["source_text"], e["suggestion"])).otherwise(e["suggestion"]))
-    kept = F.filter(F.transform(F.filter(propose(F.col(source), F.col(fix), why), deletable), toned), lambda e: safe(e["source_text"], e["suggestion"], why))
+
+    def kept(edits: Column) -> Column:
+        return F.filter(F.transform(F.filter(edits, deletable), toned), lambda e: safe(e["source_text"], e["suggestion"], why))
+
     # Edits of the least kind; every step is bound, so that none is worked out twice.
-    best = F.transform(F.array(kept), lambda k: F.struct(k.alias("k"), F.array_min(F.transform(k, lambda e: e["kind"])).alias("least")))
-    best = F.transform(best, lambda b: F.transform(F.filter(b["k"], lambda e: e["kind"] == b["least"]), lambda e: e.dropFields("kind")))
-    return rows.withColumn("edits", best[0])
+    best = F.transform(F.array(kept(proposed(False)(F.col(source), F.col(fix), why))), lambda k: F.struct(k.alias("k"), F.array_min(F.transform(k, lambda e: e["kind"])).alias("least")))
+    best = F.transform(best, lambda b: F.filter(b["k"], lambda e: e["kind"] == b["least"]))
+    rows = rows.withColumn("_first", best[0])
+    # Regions, the dearest, are only looked for where the kinds before them have no safe edit.
+    rows = rows.withColumn("_regions", kept(proposed(True)(F.when(F.size("_first") == 0, F.col(source)), F.col(fix), why)))
+    edits = F.transform(F.when(F.size("_first") > 0, F.col("_first")).otherwise(F.col("_regions")), lambda e: e.dropFields("kind"))
+    return rows.withColumn("edits", edits).drop("_first", "_regions")

@@ -554,6 +554,8 @@ def localized_edits(spark, d):
     words = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(f"({fn.WORD})"), F.lit(1))).alias("w")).select(F.lower("w").alias("w")).distinct().where(F.contains("w", F.lit("e")))
     twice = lambda c: F.concat(c, F.lit(" hay "), c)
     pairs = words.select("w", twice(F.col("w")).alias("source_text"), twice(F.regexp_replace("w", "^([^e]*)e", "$1é")).alias("suggestion"), F.lit("spelling").alias("reason_code"))
+    # Words are few bytes and much work: adaptive execution would put them into a few tasks.
+    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # An outer explode: a plain one has the edits worked out once more in a filter.
     return localize.localized(pairs).select("w", F.explode_outer("edits").alias("e")).where("e is not null").select("w", "e.*")
 

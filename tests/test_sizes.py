@@ -6,9 +6,10 @@ from unicodedata import normalize
 
 from pyspark.sql import functions as F
 
+from redquill import queries
 from redquill.functions import composed
 from redquill.functions import text as fn
-from redquill.operators import answers, arbitrate, detectors
+from redquill.operators import answers, arbitrate, detectors, localize
 from redquill.sources.blocks import blocks_from_text
 
 
@@ -65,3 +66,12 @@ def test_items_stay_in_their_row(spark):
     out = answers.anchored(rows)
     assert sorted((r.item_ord, r.block_id, r.start) for r in out.collect()) == [(0, "b0", 0)] * 2 + [(1, "b0", 8)] * 2 + [(2, "b1", 103)] * 2
     assert not exchanges(out)
+
+
+def test_regions_are_proposed_last_and_words_fill_all_tasks(spark, tmp_path):
+    assert {e["kind"] for e in localize.proposals("trể hay trể", "trễ hay trễ", "spelling", False)} == {0, 1}
+    assert {e["kind"] for e in localize.proposals("trể hay trể", "trễ hay trễ", "spelling", True)} == {2}
+    spark.createDataFrame([(1, "the they these there")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.localized_edits(spark, str(tmp_path))
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.w, r.offset) for r in found.collect()) == [("the", 0), ("there", 0), ("these", 0), ("they", 0)]
