@@ -54,14 +54,19 @@ def segment_keys(lines: DataFrame, radius: int, edits, *carry: str) -> DataFrame
     ``lines`` has line, n (its length) and tag; ``edits`` gives the edits allowed to a line from its length.
     A segment of a line of length l is found at its place or a little off; even segments, the longer ones last.
     """
-    specs = F.array(*[F.struct(*(F.lit(x).alias(c) for c, x in zip(("r", "less", "i", "shift", "own"), spec))) for spec in _specs(radius)])
+    as_array = lambda specs: F.array(*[F.struct(*(F.lit(x).alias(c) for c, x in zip(("r", "less", "i", "shift", "own"), spec))) for spec in specs])
+    every = _specs(radius)
+    # Lines that have the most edits however much shorter the other is need no keys for fewer.
+    specs = F.when((F.col("n") > radius) & (edits(F.col("n") - radius) == radius), as_array([x for x in every if x[0] == radius])).otherwise(as_array(every))
     rows = lines.select("line", "n", "tag", *carry, F.explode(specs).alias("s"))
     r, i, length = F.col("s.r"), F.col("s.i"), F.col("n") - F.col("s.less")
     rows = rows.where((length > r) & (edits(length) == r))
     size, short = F.call_function("div", length, r + 1), (r + 1) - length % (r + 1)  # so many segments have the lesser length
     # A place off by the shifts that there are still lies within the line, as no segment is empty.
     rows = rows.select("*", (i * size + F.greatest(i - short, F.lit(0)) + 1 + F.col("s.shift")).cast("int").alias("at"), (size + (i >= short).cast("int")).cast("int").alias("size"))
-    key = F.xxhash64("tag", length.cast("int"), r, i, F.substring("line", F.col("at"), F.col("size")))
+    # A line of one byte a character is cut by bytes, which needs no walk from its start.
+    part = F.when(F.octet_length("line") == F.col("n"), F.substring(F.col("line").cast("binary"), F.col("at"), F.col("size"))).otherwise(F.substring("line", F.col("at"), F.col("size")).cast("binary"))
+    key = F.xxhash64("tag", length.cast("int"), r, i, part)
     return rows.select(key.alias("key"), F.col("s.own").alias("own"), "at", "size", *carry)
 
 
