@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -26,10 +27,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
+def release(spark: SparkSession) -> None:
+    """Free what finished plans hold: the driver's heap shrinks, and the shuffles, broadcasts and checkpoints that nothing names any more go.
+
+    Spark drops those only after the driver's collector has run, and without a call it runs when the heap is full.
+    """
+    gc.collect()  # Python's references hold the JVM's objects
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder, cut its lineage, and free what went before."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    release(df.sparkSession)
+    return out
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:

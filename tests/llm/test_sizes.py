@@ -1,9 +1,12 @@
-"""What large tables ask of line dedup and of components."""
+"""What large tables ask of line dedup, of components and of the driver."""
+
+import time
 
 from pyspark.sql import functions as F
 
 from redquill.llm import linededup
 from redquill.llm.components import LEAST_TASKS, components
+from redquill.llm.runtime import cut, release
 
 
 def test_few_edges_take_few_tasks(spark):
@@ -37,3 +40,17 @@ def test_keys_are_those_of_every_spec(spark):
     assert sorted(map(tuple, keys.collect())) == sorted(map(tuple, want.collect()))
     # Lines of two edits and more are only multiplied by the specs of two edits.
     assert "CASE WHEN" in keys._jdf.queryExecution().analyzed().toString().split("Generate")[1]
+
+
+def test_cuts_free_the_shuffles_before_them(spark):
+    known = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    release(spark)
+    time.sleep(2)  # Spark's cleaner works behind the program
+    before, rows = known(), spark.range(100)
+    for k in range(1, 9):
+        rows = cut(rows.groupBy((F.col("id") % (100 - k)).alias("id")).count().select("id"))
+    for _ in range(20):
+        if known() - before <= 5:
+            break
+        time.sleep(0.5)
+    assert known() - before <= 5 and rows.count() == 92
