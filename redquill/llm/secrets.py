@@ -7,15 +7,16 @@ the symbol counts, runs above and below the middle of the alphabet, and serial c
 product of their tail probabilities is the run's score: high for symbols drawn at random.
 
 A run is reported only where its score is too high for ordinary text. The null hypothesis is "an
-ordinary token", and its distribution is taken from the corpus: every document, its long runs left
-out and reduced to the characters of an encoding, gives windows whose encoding, place and length
-follow from its hash; windows are scored like runs. The share of windows that score as high as a
-run is its p-value (with one added above and below, so it is never 0). It makes no use of the
+ordinary token", and its distribution is taken from the whole corpus: every document, its long runs left
+out and reduced to the characters of an encoding, is cut into windows of each length, end to end, so that
+every character stands in one; windows are scored like runs. The share of windows that score as high as
+a run is its p-value (with one added above and below, so it is never 0). It makes no use of the
 approximations behind the scores, which only order the runs. Within each class of encoding and
-length the false-discovery rate of what is *reported* is controlled (Benjamini-Hochberg).
+length the false-discovery rate of what is *reported* is controlled (Benjamini-Hochberg). A class without
+runs has nothing to report, so its windows aren't made.
 
 The counts behind that are histograms of fixed size over all documents. A document's spans stay in
-its row: nothing is exploded, joined or shuffled by document.
+its row: nothing is joined or shuffled by document. Texts are read twice: for the runs, then for the windows.
 
 Defined cases: a null or empty text has no spans and no windows; equal rows get equal results; ids may
 be null; runs of padding score 0; where no text gives a window of some class, nothing of that class is
@@ -54,6 +55,7 @@ ENCODINGS = (
 RUNS = (("[0-9]+", 0), ("[0-9a-f]+|[0-9A-F]+", 1), ("[a-z]+|[A-Z]+", 2), ("[A-Z2-7]+=*", 3), ("[0-9a-z]+", 4), ("[A-Za-z]+", 5))
 LENGTHS = (20, 28, 40, 64)
 BINS = 240
+FIRST = 48  # of the characters that symbols of windows are written as
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 FOUND = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -107,23 +109,57 @@ def score(text: Column, symbols: Column) -> Column:
         n = F.greatest(F.size(x["u"]), F.lit(2)).cast("double")
         return F.struct(squares.alias("squares"), F.aggregate(x["u"], start, step).alias("w"), x["a"].alias("a"), n.alias("n"), (F.size(x["u"]) < 2).alias("short"))
 
-    def deviations(x: Column) -> Column:
-        a, n = x["a"], x["n"]
-        chi = (a / n * x["squares"] - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-        runs = F.abs(x["w"]["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        serial = F.abs(x["w"]["serial"]) / ((a * a - 1) / 12) / F.sqrt(n - 1)
-        return F.struct(F.array(chi, runs, serial).alias("z"), x["short"].alias("short"))
-
-    def binned(x: Column) -> Column:
-        bits = F.aggregate(F.transform(x["z"], lambda z: F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t"))), F.lit(2.0), lambda sum_, v: sum_ + F.log2(F.greatest(upper_tail(v["z"], v["t"]), F.lit(1e-300))))
-        return F.when(x["short"], BINS - 1).otherwise(F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(-2 * bits)))).cast("int")
-
     out = F.array(F.struct(F.split(text, "").alias("chars"), symbols.alias("symbols")))
-    for f in (coded, summed, deviations, binned):
+    for f in (coded, summed, _deviations, _binned):
         out = F.transform(out, f)
     return out[0]
 
 
+def _deviations(x: Column) -> Column:
+    a, n = x["a"], x["n"]
+    chi = (a / n * x["squares"] - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
+    runs = F.abs(x["w"]["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    serial = F.abs(x["w"]["serial"]) / ((a * a - 1) / 12) / F.sqrt(n - 1)
+    return F.struct(F.array(chi, runs, serial).alias("z"), x["short"].alias("short"))
+
+
+def _binned(x: Column) -> Column:
+    bits = F.aggregate(F.transform(x["z"], lambda z: F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t"))), F.lit(2.0), lambda sum_, v: sum_ + F.log2(F.greatest(upper_tail(v["z"], v["t"]), F.lit(1e-300))))
+    return F.when(x["short"], BINS - 1).otherwise(F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(-2 * bits)))).cast("int")
+
+
+def window_scores(text: Column, encoding: int, n: int) -> Column:
+    """The bins of all windows of ``n`` characters of a text, end to end and the last one at its end: ``score``, in fewer steps a character.
+
+    Symbols are written as the characters from ``FIRST`` on, so that a character tells its code.
+    """
+    _, symbols, kept, case = ENCODINGS[encoding]
+    a = len(symbols)
+    codes = [chr(FIRST + u) for u in range(a)]
+    stream = F.translate(F.regexp_replace(F.lower(text) if case else text, f"[^{kept}]+", ""), symbols, "".join(codes))
+    within = lambda low, high: F.lit(f"[\\x{FIRST + low:x}-\\x{FIRST + high - 1:x}]+")
+
+    def cut_up(t: Column) -> Column:
+        tiles = F.regexp_extract_all(t, F.lit(f".{{{n}}}"), F.lit(0))
+        return F.when(F.length(t) % n == 0, tiles).otherwise(F.concat(tiles, F.array(F.right(t, F.lit(n)))))
+
+    def summed(w: Column) -> Column:
+        squares = F.aggregate(F.array(*[F.lit(c) for c in codes]), F.lit(0.0), lambda t, c: t + F.pow(n - F.octet_length(F.replace(w, c, F.lit(""))), F.lit(2)))
+        turns = F.size(F.regexp_extract_all(w, within(0, a // 2), F.lit(0))) + F.size(F.regexp_extract_all(w, within(a // 2, a), F.lit(0))) - 1
+        # Twice the distance from the middle, an odd number; the state is a sum and the last code in one number.
+        twice = lambda u: 2 * u - (a - 1)
+        step = lambda t, c: F.shiftleft(F.shiftright(t, 8) + twice(t.bitwiseAND(F.lit(255).cast("long"))) * twice(F.ascii(c) - FIRST), 8) + (F.ascii(c) - FIRST)
+        first = F.ascii(w) - FIRST
+        serial = F.shiftright(F.aggregate(F.split(w, ""), first.cast("long"), step), 8) - twice(first) * twice(first)
+        return F.struct(squares.alias("squares"), F.struct(turns.cast("double").alias("turns"), (serial / 4).cast("double").alias("serial")).alias("w"), F.lit(float(a)).alias("a"), F.lit(float(n)).alias("n"), F.lit(False).alias("short"))
+
+    streams = F.transform(F.filter(F.array(stream), lambda t: F.length(t) >= n), cut_up)
+    out = F.flatten(streams)
+    for f in (summed, _deviations, _binned):
+        out = F.transform(out, f)
+    return out
+
+
 def length_class(n: Column) -> Column:
     out = F.lit(0)
     for i, least in enumerate(LENGTHS[1:], 1):
@@ -149,38 +185,27 @@ def coded_scores(run: Column) -> Column:
     return F.transform(encoding, lambda e: (e * len(LENGTHS) + length_class(F.length(run))) * BINS + score(as_symbols(run, e), symbols(e)))[0]
 
 
-def windows(rows: DataFrame, near: int = 512, each: int = 2) -> DataFrame:
-    """``rows`` (doc_id, text, ...) with column ``null``: the coded scores of the windows of its ordinary text.
+def _shifted(codes: Column, by: int) -> Column:
+    return F.transform(codes, lambda x: x + by)
 
-    Every text gives ``each`` windows. Its hash chooses their encodings (different ones), lengths and
-    places; a window is what the next ``near`` characters hold of the encoding (the whole text for
-    digits, which are rare), cut to the length.
-    """
-    plain = rows.withColumn("_plain", F.when(F.col("text").rlike(RUN), F.regexp_replace("text", RUN, " ")).otherwise(F.col("text"))).withColumn("_h", F.xxhash64("doc_id", "text"))
-    at = 1 + F.pmod("_h", F.greatest(F.length("_plain") - near + 1, F.lit(1)).cast("long"))
-    plain = plain.withColumn("_near", F.substring("_plain", at.cast("int"), F.lit(near)))
-    part = lambda shift, n: F.pmod(F.shiftrightunsigned("_h", shift), F.lit(n)).cast("int")
-    first, step = part(8, len(ENCODINGS)), 1 + part(16, len(ENCODINGS) - 1)
-    for k in range(each):
-        chosen, stream = (first + k * step) % len(ENCODINGS), F.lit(None).cast("string")
-        plain = plain.withColumn(f"_c{k}", chosen)
-        for i, (_, _, kept, case) in enumerate(ENCODINGS):
-            source = F.col("_near" if i else "_plain")
-            stream = F.when(F.col(f"_c{k}") == i, F.regexp_replace(F.lower(source) if case else source, f"[^{kept}]+", "")).otherwise(stream)
-        plain = plain.withColumn(f"_e{k}", stream)
-    out = []
-    for k in range(each):
-        encoding, stream, j = F.col(f"_c{k}"), F.col(f"_e{k}"), part(24 + 2 * k, len(LENGTHS))
-        least = F.element_at(F.array(*[F.lit(n) for n in LENGTHS]), j + 1)
-        symbols = F.element_at(F.array(*[F.lit(x) for _, x, *_ in ENCODINGS]), encoding + 1)
-        out.append(F.when(F.length(stream) >= least, (encoding * len(LENGTHS) + j) * BINS + score(F.left(stream, least), symbols)))
-    return plain.withColumn("null", F.array_compact(F.array(*out))).drop("_plain", "_h", "_near", *(f"_{x}{k}" for k in range(each) for x in "ce"))
-
-
-def limits(scored: DataFrame, rate: float) -> dict[int, int]:
-    """By class the greatest bin that is reported; ``scored`` has arrays of coded scores, ``tested`` and ``null``."""
-    each = lambda c, kind: scored.select(F.explode(c).alias("x"), F.lit(kind).alias("run"))
-    counts = each(F.transform("tested", lambda t: t["code"]), 1).unionByName(each("null", 0)).groupBy(F.floor(F.col("x") / BINS).cast("int").alias("class"), (F.col("x") % BINS).alias("bin"))
+
+def windows(rows: DataFrame, classes: list[int] | None = None) -> DataFrame:
+    """``rows`` (text, ...) with column ``null``: the coded scores of all windows of its ordinary text, of all classes or of some."""
+    every = range(len(ENCODINGS) * len(LENGTHS)) if classes is None else classes
+    plain = rows.withColumn("_plain", F.when(F.col("text").rlike(RUN), F.regexp_replace("text", RUN, " ")).otherwise(F.col("text")))
+    coded = [_shifted(window_scores(F.col("_plain"), c // len(LENGTHS), LENGTHS[c % len(LENGTHS)]), c * BINS) for c in every]
+    return plain.withColumn("null", F.concat(F.array().cast("array<int>"), *coded)).drop("_plain")
+
+
+def limits(texts: DataFrame, scored: DataFrame, rate: float) -> dict[int, int]:
+    """By class the greatest bin that is reported; ``scored`` has the runs of ``texts`` with their codes, ``tested``."""
+    # An outer explode: a plain one has the scores worked out once more in a filter.
+    each = lambda df, c, kind: df.select(F.explode_outer(c).alias("x"), F.lit(kind).alias("run")).where("x is not null")
+    runs = each(scored, F.transform("tested", lambda t: t["code"]), 1)
+    classes = sorted(r[0] for r in runs.select(F.floor(F.col("x") / BINS).cast("int")).distinct().collect())
+    if not classes:
+        return {}
+    counts = runs.unionByName(each(windows(texts, classes), "null", 0)).groupBy(F.floor(F.col("x") / BINS).cast("int").alias("class"), (F.col("x") % BINS).alias("bin"))
     counts = counts.agg(F.sum("run").alias("runs"), F.sum(1 - F.col("run")).alias("ordinary"))
     so_far, whole = Window.partitionBy("class").orderBy("bin"), Window.partitionBy("class")
     p = (1 + F.sum("ordinary").over(so_far)) / (1 + F.sum("ordinary").over(whole))
@@ -196,11 +221,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = F.concat(*[spans("text", pattern, kind, i, group, least) for i, (kind, pattern, group, least) in enumerate(KINDS)])
-    rows = windows(rows).withColumn("base", F.array_sort(base)).withColumn("runs", spans("text", RUN, "random", len(KINDS), 1, LENGTHS[0]))
+    texts = rows
+    rows = rows.withColumn("base", F.array_sort(base)).withColumn("runs", spans("text", RUN, "random", len(KINDS), 1, LENGTHS[0]))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     tested = F.transform(free, lambda r: F.struct(r.alias("span"), coded_scores(F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"])).alias("code")))
-    rows = cut(rows.select("doc_id", "base", tested.alias("tested"), "null"))
-    most = limits(rows, rate)
+    rows = cut(rows.select("doc_id", "base", tested.alias("tested")))
+    most = limits(texts, rows, rate)
     allowed = F.array(*[F.lit(most.get(c, -1)) for c in range(len(ENCODINGS) * len(LENGTHS))])
     kept = F.filter("tested", lambda t: t["code"] % BINS <= F.element_at(allowed, F.floor(t["code"] / BINS).cast("int") + 1))
     rows = rows.withColumn("random", F.transform(kept, lambda t: t["span"]))

@@ -251,6 +251,26 @@ def test_ordinary_text_gives_windows(spark):
     assert all(0 <= c < len(secrets.ENCODINGS) * len(secrets.LENGTHS) * secrets.BINS for x in got.values() for c in x)
 
 
+def test_windows_are_all_of_the_text_and_scored_like_runs(spark):
+    """Every window of every class, against cutting in Python and the score of runs."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefghijklm ABCXYZ,.\n 0123456789 +/- éİ中      ") for _ in range(n)) for n in (3, 19, 20, 21, 100, 400, 1500, 1500)] + ["", "a" * 15 + " " + "b" * 9, "z" * 64 + "9 9"]
+    got = {x.i: sorted(x.null) for x in secrets.windows(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    cuts = []
+    for i, text in enumerate(texts):
+        plain = re.sub(secrets.RUN, " ", text)
+        for e, (_, symbols, kept, case) in enumerate(secrets.ENCODINGS):
+            stream = re.sub(f"[^{kept}]+", "", plain.lower() if case else plain)
+            for j, n in enumerate(secrets.LENGTHS):
+                tiles = [stream[k : k + n] for k in range(0, len(stream) - n + 1, n)] + ([stream[-n:]] if len(stream) >= n and len(stream) % n else [])
+                cuts += [(i, e * len(secrets.LENGTHS) + j, w, symbols) for w in tiles]
+    want = spark.createDataFrame(cuts, "i int, c int, w string, symbols string").select("i", (F.col("c") * secrets.BINS + secrets.score(F.col("w"), F.col("symbols"))).alias("x"))
+    by = {}
+    for x in want.collect():
+        by.setdefault(x.i, []).append(x.x)
+    assert got == {i: sorted(by.get(i, [])) for i in range(len(texts))} and len(cuts) > 500
+
+
 def test_media_round_trip(spark, docs):
     for r in media.media_columns(docs).collect():
         want = media.padded(TEXTS[r.doc_id] if r.doc_id is not None else "null id " * 20)
