@@ -26,6 +26,7 @@ reported; no rows give no rows; columns other than id and text are not read. Off
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ KINDS = (
     ("hex", r"([0-9a-f]{24,})", 1, 24),
 )
 RUN = r"([A-Za-z0-9+/_=-]{20,})"
+RUN_AT_ONCE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"  # the same runs, not sought from within a word
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # Encodings that share a distribution of ordinary text: name, symbols in order, the characters of a
 # text that are among them, and the case to which a text is brought first.
@@ -55,7 +57,6 @@ ENCODINGS = (
 RUNS = (("[0-9]+", 0), ("[0-9a-f]+|[0-9A-F]+", 1), ("[a-z]+|[A-Z]+", 2), ("[A-Z2-7]+=*", 3), ("[0-9a-z]+", 4), ("[A-Za-z]+", 5))
 LENGTHS = (20, 28, 40, 64)
 BINS = 240
-FIRST = 48  # of the characters that symbols of windows are written as
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 FOUND = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -115,49 +116,71 @@ def score(text: Column, symbols: Column) -> Column:
     return out[0]
 
 
+def deviations(a: Column, n: Column, squares: Column, turns: Column, serial: Column) -> list[Column]:
+    """Of the symbols' counts, the runs and the serial correlation, in standard deviations."""
+    chi = (a / n * squares - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
+    return [chi, F.abs(turns - (n - 1) / 2) / F.sqrt((n - 1) / 4), F.abs(serial) / ((a * a - 1) / 12) / F.sqrt(n - 1)]
+
+
+def _t(z: Column) -> Column:
+    return 1 / (1 + 0.2316419 * F.abs(z))
+
+
+def tail_bits(z: Column, t: Column) -> Column:
+    return F.log2(F.greatest(upper_tail(z, t), F.lit(1e-300)))
+
+
+def _bin(bits: Column) -> Column:
+    return F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(-2 * bits))).cast("int")
+
+
 def _deviations(x: Column) -> Column:
-    a, n = x["a"], x["n"]
-    chi = (a / n * x["squares"] - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-    runs = F.abs(x["w"]["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial = F.abs(x["w"]["serial"]) / ((a * a - 1) / 12) / F.sqrt(n - 1)
-    return F.struct(F.array(chi, runs, serial).alias("z"), x["short"].alias("short"))
+    return F.struct(F.array(*deviations(x["a"], x["n"], x["squares"], x["w"]["turns"], x["w"]["serial"])).alias("z"), x["short"].alias("short"))
 
 
 def _binned(x: Column) -> Column:
-    bits = F.aggregate(F.transform(x["z"], lambda z: F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t"))), F.lit(2.0), lambda sum_, v: sum_ + F.log2(F.greatest(upper_tail(v["z"], v["t"]), F.lit(1e-300))))
-    return F.when(x["short"], BINS - 1).otherwise(F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(-2 * bits)))).cast("int")
+    bits = F.aggregate(F.transform(x["z"], lambda z: F.struct(z.alias("z"), _t(z).alias("t"))), F.lit(2.0), lambda sum_, v: sum_ + tail_bits(v["z"], v["t"]))
+    return F.when(x["short"], BINS - 1).otherwise(_bin(bits))
 
 
-def window_scores(text: Column, encoding: int, n: int) -> Column:
-    """The bins of all windows of ``n`` characters of a text, end to end and the last one at its end: ``score``, in fewer steps a character.
+def window_scores(rows: DataFrame, text: str, of: int, *carry: str) -> DataFrame:
+    """``carry`` and x, the class ``of`` and the bin of each window in one number, a row a window: ``score``, of whole words of bits.
 
-    Symbols are written as the characters from ``FIRST`` on, so that a character tells its code.
+    Windows are cut end to end, the last one at the text's end. Bit i of plane b is bit b of the window's i-th symbol: the statistics
+    are counts of bits in planes. Every select binds what the next one uses more than once; there are no lambdas, so all is compiled.
     """
+    encoding, n = of // len(LENGTHS), LENGTHS[of % len(LENGTHS)]
     _, symbols, kept, case = ENCODINGS[encoding]
-    a = len(symbols)
-    codes = [chr(FIRST + u) for u in range(a)]
-    stream = F.translate(F.regexp_replace(F.lower(text) if case else text, f"[^{kept}]+", ""), symbols, "".join(codes))
-    within = lambda low, high: F.lit(f"[\\x{FIRST + low:x}-\\x{FIRST + high - 1:x}]+")
-
-    def cut_up(t: Column) -> Column:
-        tiles = F.regexp_extract_all(t, F.lit(f".{{{n}}}"), F.lit(0))
-        return F.when(F.length(t) % n == 0, tiles).otherwise(F.concat(tiles, F.array(F.right(t, F.lit(n)))))
-
-    def summed(w: Column) -> Column:
-        squares = F.aggregate(F.array(*[F.lit(c) for c in codes]), F.lit(0.0), lambda t, c: t + F.pow(n - F.octet_length(F.replace(w, c, F.lit(""))), F.lit(2)))
-        turns = F.size(F.regexp_extract_all(w, within(0, a // 2), F.lit(0))) + F.size(F.regexp_extract_all(w, within(a // 2, a), F.lit(0))) - 1
-        # Twice the distance from the middle, an odd number; the state is a sum and the last code in one number.
-        twice = lambda u: 2 * u - (a - 1)
-        step = lambda t, c: F.shiftleft(F.shiftright(t, 8) + twice(t.bitwiseAND(F.lit(255).cast("long"))) * twice(F.ascii(c) - FIRST), 8) + (F.ascii(c) - FIRST)
-        first = F.ascii(w) - FIRST
-        serial = F.shiftright(F.aggregate(F.split(w, ""), first.cast("long"), step), 8) - twice(first) * twice(first)
-        return F.struct(squares.alias("squares"), F.struct(turns.cast("double").alias("turns"), (serial / 4).cast("double").alias("serial")).alias("w"), F.lit(float(a)).alias("a"), F.lit(float(n)).alias("n"), F.lit(False).alias("short"))
-
-    streams = F.transform(F.filter(F.array(stream), lambda t: F.length(t) >= n), cut_up)
-    out = F.flatten(streams)
-    for f in (summed, _deviations, _binned):
-        out = F.transform(out, f)
-    return out
+    a, places, planes = len(symbols), range(n), range(6)
+    half = a // 2
+    values = [u + (32 - half) * (u >= half) for u in range(a)]  # six bits a symbol, of which the last tells the upper half
+    parts = [1, 2, 4, 8, 16, half]  # of a bit in the symbol's place
+    stream = F.translate(F.regexp_replace(F.lower(text) if case else F.col(text), f"[^{kept}]+", ""), symbols, "".join(chr(64 + v) for v in values))
+    tiles = F.regexp_extract_all("s", F.lit(f".{{{n}}}"), F.lit(0))
+    cut_up = F.when(F.length("s") % n == 0, tiles).otherwise(F.concat(tiles, F.array(F.right("s", F.lit(n)))))
+    # An outer explode: a plain one has the texts cut once more in a filter.
+    out = rows.select(*carry, stream.alias("s")).select(*carry, F.explode_outer(F.when(F.length("s") >= n, cut_up)).alias("w")).where("w is not null")
+    out = out.selectExpr(*carry, "coalesce(w, '') as w").selectExpr(*carry, *(f"ascii(substring(w, {i + 1}, 1)) as c{i}" for i in places))
+    # Eight numbers hold every eighth symbol, a byte a symbol, and each gives a plane every eighth bit: few steps, as compiled methods have to stay small.
+    out = out.selectExpr(*carry, *(" | ".join(f"shiftleft(cast(c{i} as bigint), {i - j})" for i in places if i % 8 == j) + f" as q{j}" for j in range(8)))
+    out = out.selectExpr(*carry, *(" | ".join(f"shiftleft(shiftright(q{j}, {b}) & {0x0101010101010101}L, {j})" for j in range(8)) + f" as p{b}" for b in planes))
+    # Places of the symbols with some value in the three lower bits, and in the three upper ones.
+    some = lambda x, first: " & ".join(f"p{first + b}" if x >> b & 1 else f"~p{first + b}" for b in range(3))
+    whole, but_one = (1 << n) - 1 if n < 64 else -1, (1 << (n - 1)) - 1
+    out = out.selectExpr(*carry, *(f"p{b}" for b in planes), *(f"{some(x, 0)} & {whole}L as l{x}" for x in range(8)), *(f"{some(x, 3)} as h{x}" for x in range(8)))
+    out = out.selectExpr(*carry, *(f"p{b}" for b in planes), *(f"bit_count(l{v & 7} & h{v >> 3}) as n{u}" for u, v in enumerate(values)))
+    # Twice the distance from the middle is 2 u - (a - 1) for symbol u; serial sums the products of neighbours.
+    pairs = " + ".join(f"{parts[b] * parts[d]} * bit_count(p{b} & shiftright(p{d}, 1) & {but_one}L)" for b in planes for d in planes)
+    ends = " + ".join(f"{parts[b]} * (bit_count(p{b} & {but_one}L) + bit_count(shiftright(p{b}, 1) & {but_one}L))" for b in planes)
+    out = out.selectExpr(
+        *carry, f"cast({' + '.join(f'n{u} * n{u}' for u in range(a))} as double) as squares", f"cast(bit_count((p5 ^ shiftright(p5, 1)) & {but_one}L) as double) as turns",
+        f"cast(4 * ({pairs}) - {2 * (a - 1)} * ({ends}) + {(n - 1) * (a - 1) ** 2} as double) / 4D as serial",
+    )
+    z = deviations(F.lit(float(a)), F.lit(float(n)), F.col("squares"), F.col("turns"), F.col("serial"))
+    out = out.select(*carry, *(x.alias(f"z{i}") for i, x in enumerate(z)))
+    out = out.select(*carry, *(f"z{i}" for i in range(3)), *(_t(F.col(f"z{i}")).alias(f"t{i}") for i in range(3)))
+    out = out.select(*carry, *(tail_bits(F.col(f"z{i}"), F.col(f"t{i}")).alias(f"b{i}") for i in range(3)))
+    return out.select(*carry, (_bin(F.lit(2.0) + F.col("b0") + F.col("b1") + F.col("b2")) + of * BINS).alias("x"))
 
 
 def length_class(n: Column) -> Column:
@@ -185,16 +208,19 @@ def coded_scores(run: Column) -> Column:
     return F.transform(encoding, lambda e: (e * len(LENGTHS) + length_class(F.length(run))) * BINS + score(as_symbols(run, e), symbols(e)))[0]
 
 
-def _shifted(codes: Column, by: int) -> Column:
-    return F.transform(codes, lambda x: x + by)
+def ordinary(texts: DataFrame, classes: list[int], *carry: str) -> DataFrame:
+    """``carry`` and x, the coded score of a window, for all windows of the ordinary text in ``texts``, of some classes."""
+    plain = texts.withColumn("_plain", F.regexp_replace("text", RUN_AT_ONCE, " "))
+    out = [window_scores(plain, "_plain", c, *carry) for c in classes]
+    return reduce(DataFrame.unionByName, out)
 
 
 def windows(rows: DataFrame, classes: list[int] | None = None) -> DataFrame:
     """``rows`` (text, ...) with column ``null``: the coded scores of all windows of its ordinary text, of all classes or of some."""
-    every = range(len(ENCODINGS) * len(LENGTHS)) if classes is None else classes
-    plain = rows.withColumn("_plain", F.when(F.col("text").rlike(RUN), F.regexp_replace("text", RUN, " ")).otherwise(F.col("text")))
-    coded = [_shifted(window_scores(F.col("_plain"), c // len(LENGTHS), LENGTHS[c % len(LENGTHS)]), c * BINS) for c in every]
-    return plain.withColumn("null", F.concat(F.array().cast("array<int>"), *coded)).drop("_plain")
+    numbered = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    every = list(range(len(ENCODINGS) * len(LENGTHS))) if classes is None else classes
+    scores = ordinary(numbered, every, "_row").groupBy("_row").agg(F.collect_list("x").alias("null"))
+    return numbered.join(scores, "_row", "left").withColumn("null", F.coalesce("null", F.array().cast("array<int>"))).drop("_row")
 
 
 def limits(texts: DataFrame, scored: DataFrame, rate: float) -> dict[int, int]:
@@ -205,7 +231,7 @@ def limits(texts: DataFrame, scored: DataFrame, rate: float) -> dict[int, int]:
     classes = sorted(r[0] for r in runs.select(F.floor(F.col("x") / BINS).cast("int")).distinct().collect())
     if not classes:
         return {}
-    counts = runs.unionByName(each(windows(texts, classes), "null", 0)).groupBy(F.floor(F.col("x") / BINS).cast("int").alias("class"), (F.col("x") % BINS).alias("bin"))
+    counts = runs.unionByName(ordinary(texts, classes).withColumn("run", F.lit(0))).groupBy(F.floor(F.col("x") / BINS).cast("int").alias("class"), (F.col("x") % BINS).alias("bin"))
     counts = counts.agg(F.sum("run").alias("runs"), F.sum(1 - F.col("run")).alias("ordinary"))
     so_far, whole = Window.partitionBy("class").orderBy("bin"), Window.partitionBy("class")
     p = (1 + F.sum("ordinary").over(so_far)) / (1 + F.sum("ordinary").over(whole))

@@ -1,10 +1,11 @@
 """What large tables ask of line dedup, of components and of the driver."""
 
+import re
 import time
 
 from pyspark.sql import functions as F
 
-from redquill.llm import linededup
+from redquill.llm import linededup, secrets
 from redquill.llm.components import LEAST_TASKS, components
 from redquill.llm.runtime import cut, release
 
@@ -54,3 +55,23 @@ def test_cuts_free_the_shuffles_before_them(spark):
             break
         time.sleep(0.5)
     assert known() - before <= 5 and rows.count() == 92
+
+
+def test_windows_are_scored_by_compiled_code(spark):
+    # No lambda, which is interpreted, and no method above 8000 bytes, which HotSpot doesn't compile.
+    texts = spark.createDataFrame([("a" * 64,), ("ab" * 50 + "Zz9" * 30,), ("Q7x/+" * 13 + " or so",), ("x",)], "text string")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has no code before it runs
+    try:
+        for c in (0, 8, 20, *range(24, 28)):
+            plan = secrets.ordinary(texts, [c]).groupBy("x").count()._jdf.queryExecution().explainString(mode)
+            assert "lambdafunction" not in plan
+            assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", plan))) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # The same bins as those of runs, also where one symbol fills a window.
+    symbols, n = secrets.ENCODINGS[5][1], secrets.LENGTHS[3]
+    cuts = [("a" * 64,), (("ab" * 50 + "ZzZz")[:64],), ("Az" * 32,), ("A" * 32 + "z" * 32,), ("z" * 63 + "A",), (symbols + symbols[:12],)]
+    spaced = spark.createDataFrame([(" ".join(x[i : i + 8] for i in range(0, n, 8)),) for (x,) in cuts], "text string")
+    want = spark.createDataFrame(cuts, "w string").select((23 * secrets.BINS + secrets.score(F.col("w"), F.lit(symbols))).alias("x"))
+    assert sorted(r.x for r in secrets.ordinary(spaced, [23]).collect()) == sorted(r.x for r in want.collect())
