@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +35,24 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()  # Python's references hold the JVM's objects
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """Give native memory that the driver's JVM has freed back to the system, which glibc keeps in an arena for each of many threads; what the JVM says, None if it can't."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # By the interface's method: the server's own class is closed to other modules.
+        kind = jvm.java.lang.Class.forName
+        types = new(jvm.java.lang.Class, 4)
+        for i, c in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = kind(c)
+        args = new(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, args)
+    except Py4JError:  # not Linux with glibc, or an older JVM
+        return None
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redquill.llm import linededup, secrets
 from redquill.llm.components import LEAST_TASKS, components
-from redquill.llm.runtime import cut, release
+from redquill.llm.runtime import cut, release, trim
 
 
 def test_few_edges_take_few_tasks(spark):
@@ -75,3 +75,7 @@ def test_windows_are_scored_by_compiled_code(spark):
     spaced = spark.createDataFrame([(" ".join(x[i : i + 8] for i in range(0, n, 8)),) for (x,) in cuts], "text string")
     want = spark.createDataFrame(cuts, "w string").select((23 * secrets.BINS + secrets.score(F.col("w"), F.lit(symbols))).alias("x"))
     assert sorted(r.x for r in secrets.ordinary(spaced, [23]).collect()) == sorted(r.x for r in want.collect())
+
+
+def test_native_memory_is_given_back(spark):
+    assert "Trim native heap" in trim(spark)
