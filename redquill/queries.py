@@ -562,5 +562,6 @@ def localized_edits(spark, d):
 
 @query("SELECT doc_id, nfc_normalize(t) AS text, length(t) AS n_source, length(nfc_normalize(t)) AS n_places, length(t) AS last_end FROM (SELECT doc_id, replace(text, 'é', 'e' || chr(769)) AS t FROM documents)")
 def composed_text(spark, d):
-    apart = documents(spark, d).select("doc_id", F.replace("text", F.lit("é"), F.lit("e\u0301")).alias("t")).withColumn("c", composed.composed(F.col("t")))
-    return apart.select("doc_id", "c.text", F.length("t").cast("long").alias("n_source"), F.size("c.places").cast("long").alias("n_places"), F.array_max(F.transform("c.places", lambda p: p["e"])).cast("long").alias("last_end"))
+    apart = documents(spark, d).select("doc_id", F.replace("text", F.lit("é"), F.lit("e\u0301")).alias("t")).withColumn("c", composed.composed(F.col("t"), whole=True))
+    n = F.array_size("c.places")  # null for a null in every mode; the last end of no places is 0
+    return apart.select("doc_id", "c.text", F.length("t").cast("long").alias("n_source"), n.cast("long").alias("n_places"), F.coalesce(F.array_max(F.transform("c.places", lambda p: p["e"])), n).cast("long").alias("last_end"))

@@ -3,8 +3,10 @@
 import json
 from unicodedata import normalize
 
+import duckdb
 from pyspark.sql import functions as F
 
+from redquill import queries
 from redquill.functions import composed
 from redquill.operators import answers, chunking, localize
 
@@ -72,3 +74,22 @@ def test_composed_text_keeps_its_places(spark):
     whole = spark.createDataFrame([(texts[3], 6, 10), ("abc", 5, 9), ("", 0, 1)], "t string, a int, b int").withColumn("c", composed.composed(F.col("t")))
     got = [r[0] for r in whole.select(composed.source_span(F.col("t"), F.col("c.places"), F.col("a"), F.col("b"))).collect()]
     assert normalize("NFC", got[0].source_text) == "Việt" and (got[1].start, got[1].end, got[2].start) == (5, 9, 0)
+
+
+def test_composed_text_is_its_sql_on_odd_texts(spark, tmp_path):
+    jamo, signs, mark = "\u1100\u1161\u1100\u1161\u11a8", "\u09c7\u09be \u0dd9\u0dcf\u0dca", "e\u0f73\u0301"
+    texts = [None, "", "é", "\u0301é", normalize("NFD", "Tiếng Việt 한국어 क़"), jamo, signs, mark, "\n", "é" + jamo + signs + mark + "é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(queries.REGISTRY["composed_text"][1]).fetchall())
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            assert sorted(tuple(r) for r in queries.composed_text(spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    for t in texts[1:]:
+        text, starts, ends = composed.composed_text(t, whole=True)
+        assert text == normalize("NFC", t) and all(normalize("NFC", t[s:e]).count(c) for c, s, e in zip(text, starts, ends))
